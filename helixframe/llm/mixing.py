@@ -134,7 +134,7 @@ def _distributed(cells: DataFrame, store: Store, targets: dict, budget: float, t
         for d in DIMS:
             have = work.groupBy(d).agg(F.sum("weight").alias("have")).join(shares[d], d)
             have = have.select(d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("f"), F.when(F.col("have") > 0, F.abs(F.col("have") - F.col("target"))).otherwise(0.0).alias("off"))
-            after = store.put(work.join(have, d).select(*DIMS, "tokens", (F.col("weight") * F.col("f")).alias("weight"), "off"), "weights")
+            after = store.put(work.select(*DIMS, "tokens", "weight").join(have, d).select(*DIMS, "tokens", (F.col("weight") * F.col("f")).alias("weight"), "off"), "weights")
             worst = max(worst, after.agg(F.max("off")).first()[0] or 0.0)
             store.drop(work)
             work = after
