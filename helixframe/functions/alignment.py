@@ -3,9 +3,9 @@
 Two independent code paths: a numpy kernel inside a pandas UDF (default), and a pure SQL form of nested
 higher-order functions that serves as the validator.
 
-The kernel takes one Arrow batch of pairs at once and loops over rows of the score matrix only. With `base` the best of
-the diagonal and upper moves, the left move unrolls to a running maximum: cur[j] = max over k <= j of
-base[k] + gap * (j - k), that is, accumulate(base - gap * j) + gap * j.
+The kernel takes many pairs at once and loops over rows of the score matrix only. It holds H[j] - gap * j in place of H[j]:
+a left move then adds nothing, so a row is the running maximum of its diagonal and upper moves, and the shift is undone
+where a score is read. Slabs of pairs are small enough to stay in cache, in 16-bit integers where the scores fit.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ IMPLEMENTATIONS = {
     "rolling": "kernel", "full": "sql", "baseline": "kernel", "wavefront": "kernel",
     "global_matrix": "sql", "rolling_diagonal": "kernel", "tiled_wavefront": "kernel",
 }
-#: Score-matrix cells held at once by the kernel: rows of a batch are cut so that pairs * (longest b + 1) stay below.
-KERNEL_CELLS = 4_000_000
+#: Cells of one score-matrix row over all pairs of a slab, at most (a single longer pair is a slab of its own).
+KERNEL_CELLS = 1 << 16
 
 
 def _codes(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,26 +41,40 @@ def align_batch(a: list[str], b: list[str], local: bool, scoring: Scoring = Scor
         return np.zeros(0, dtype=np.int64)
     xs, la = _codes(a, -1)
     ys, lb = _codes(b, -2)
-    n, m = len(a), ys.shape[1]
-    kind = np.int32 if (xs.shape[1] + m + 2) * max(map(abs, (scoring.match, scoring.mismatch, scoring.gap))) < 2**30 else np.int64
-    step = (np.arange(m + 1) * scoring.gap).astype(kind)
-    prev = np.zeros((n, m + 1), kind) if local else np.broadcast_to(step, (n, m + 1)).astype(kind)
-    own = np.arange(n)
-    score = np.zeros(n, np.int64) if local else np.where(la == 0, prev[own, lb], 0).astype(np.int64)
-    inside = np.arange(m + 1)[None, :] <= lb[:, None]
-    for i in range(1, xs.shape[1] + 1):
-        base = np.empty_like(prev)
-        base[:, 0] = 0 if local else i * scoring.gap
-        sub = np.where(ys == xs[:, i - 1 : i], scoring.match, scoring.mismatch).astype(kind)
-        np.maximum(prev[:, :-1] + sub, prev[:, 1:] + kind(scoring.gap), out=base[:, 1:])
+    n, m, g = len(a), ys.shape[1], scoring.gap
+    reach = (xs.shape[1] + m + 2) * 2 * max(map(abs, (scoring.match, scoring.mismatch, scoring.gap)))
+    kind = np.int16 if reach < 2**15 and max(xs.max(initial=0), ys.max(initial=0)) < 2**15 else np.int32 if reach < 2**31 else np.int64
+    code = np.int16 if kind is np.int16 else np.int32
+    xs, ys = np.ascontiguousarray(xs.T.astype(code)), ys.astype(code)
+    step = (np.arange(m + 1) * g).astype(kind)
+    same, other, up = kind(scoring.match - g), kind(scoring.mismatch - g), kind(g)
+    prev = np.broadcast_to(-step if local else np.zeros(m + 1, kind), (n, m + 1)).copy()
+    cur, eq, own = np.empty_like(prev), np.empty((n, m), bool), np.arange(n)
+    score = np.where(la == 0, 0 if local else lb * g, 0).astype(np.int64)
+    best = np.zeros((n, m + 1), kind)
+    ends = np.bincount(la, minlength=len(xs) + 1)
+    past = np.arange(m + 1)[None, :] > lb[:, None]
+    for i in range(1, len(xs) + 1):
+        np.equal(ys, xs[i - 1][:, None], out=eq)
+        inner = cur[:, 1:]
+        np.multiply(eq, same - other, out=inner)
+        inner += other
+        inner += prev[:, :-1]
+        prev += up
+        np.maximum(inner, prev[:, 1:], out=inner)
+        cur[:, 0] = 0 if local else i * g
         if local:
-            np.maximum(base, 0, out=base)
-        prev = np.maximum.accumulate(base - step, axis=1) + step
+            np.maximum(cur, -step, out=cur)
+        np.maximum.accumulate(cur, axis=1, out=cur)
+        prev, cur = cur, prev
         if local:
-            live = la >= i
-            score[live] = np.maximum(score[live], np.where(inside[live], prev[live], 0).max(axis=1))
-        else:
-            score = np.where(la == i, prev[own, lb], score)
+            np.maximum(best, prev + step, out=best)
+        if ends[i]:
+            done = la == i
+            if local:
+                score[done] = np.where(past[done], 0, best[done]).max(axis=1)
+            else:
+                score[done] = (prev[own, lb].astype(np.int64) + lb * g)[done]
     return score
 
 

@@ -69,7 +69,8 @@ def packed_hamming(a: Column, b: Column) -> Column:
 
 
 def similarity(distance: Column, length: Column) -> Column:
-    return F.lit(100.0) * (F.lit(1.0) - distance / length)
+    """Percent of equal positions; null for empty sequences."""
+    return F.lit(100.0) * (F.lit(1.0) - F.try_divide(distance, length))
 
 
 def hash_u32(*parts: Column | str | int) -> Column:
