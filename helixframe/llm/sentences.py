@@ -71,10 +71,11 @@ def repeated_spans(docs: DataFrame, store: Store, *, doc_id: str = "doc_id", tex
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
     found = keyed.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, k1 bigint, k2 bigint, start int, end int")
-    many = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    # Written first, so that both sides of the join are plain exchanges, whose hot keys Spark can split.
+    many = store.put(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "many")
     repeated = store.put(found.join(many, ["h1", "h2"]).withColumn("z", F.col("doc_id").isNull()), "repeated")
     first = repeated.groupBy("h1", "h2").agg(F.min(F.struct("z", "doc_id", "k1", "k2", "start")).alias("f"))
-    first = first.select("h1", "h2", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.start").alias("fs"))
+    first = store.put(first.select("h1", "h2", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.start").alias("fs")), "first")
     later = repeated.join(first, ["h1", "h2"]).filter((F.col("k1") != F.col("f1")) | (F.col("k2") != F.col("f2")) | (F.col("start") != F.col("fs")))
     return store.put(later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "removed")
 
