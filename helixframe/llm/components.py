@@ -12,9 +12,9 @@ def components(links: DataFrame, store: Store, a: str = "a", b: str = "b", max_r
     """(node, component): the smallest node reachable, for every node that has a link to another.
 
     Alternating star operations: each node hands its larger neighbours to its smallest neighbour, then its smaller
-    neighbours to the smallest of them, until nothing changes. A node's neighbours are never gathered: its minimum is an
-    aggregate with partial sums, joined back, so Spark can split the join of a node with very many links. Every round is
-    written to the store. Null ends and self-links are ignored.
+    neighbours to the smallest of them, until nothing changes. A node's neighbours are never gathered into a list: its
+    minimum is an aggregate with partial minima, joined back. Every round is written to the store. Null ends and self-links
+    are ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") > F.col("v")).distinct()
     edges = store.put(edges, "edges")
