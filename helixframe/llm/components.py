@@ -13,7 +13,8 @@ def components(links: DataFrame, store: Store, a: str = "a", b: str = "b", max_r
 
     Alternating star operations: each node hands its larger neighbours to its smallest neighbour, then its smaller
     neighbours to the smallest of them, until nothing changes. A node's neighbours are never gathered into a list: its
-    minimum is an aggregate with partial minima, joined back. Every round is written to the store. Null ends and self-links
+    minimum is an aggregate with partial minima, written and joined back, so that the join is of plain exchanges and Spark
+    can split a node that holds a large share of all links. Every round is written to the store. Null ends and self-links
     are ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") > F.col("v")).distinct()
@@ -23,24 +24,25 @@ def components(links: DataFrame, store: Store, a: str = "a", b: str = "b", max_r
         if not state[0]:
             break
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
+        low = store.put(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m")), "low")
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") > F.col("v")).distinct()
         mid = store.put(large, "large")
-        low = mid.groupBy("u").agg(F.min("v").alias("m"))
+        store.drop(low)
+        low = store.put(mid.groupBy("u").agg(F.min("v").alias("m")), "low")
         near = mid.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") > F.col("v"))
         small = near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = store.put(small, "edges")
         now = _state(after)
-        store.drop(mid)
-        store.drop(edges)
+        for old in (low, mid, edges):
+            store.drop(old)
         edges, same, state = after, now == state, now
         if same:
             break
     else:
         raise RuntimeError("components did not settle")
     members = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return store.put(members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "members")
 
 
 def _state(edges: DataFrame) -> tuple:
