@@ -244,6 +244,24 @@ def test_lines_equal_brute_force(spark):
     assert sum(found[k] != want[k] for k in want) == 0
 
 
+def test_insertion_in_an_unspaced_line_shifts_nothing(spark):
+    r = random.Random(41)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    base = [draw([chr(0x4E00 + i) for i in range(800)], 300), "https://example.org/" + draw("abcdefghij0123456789/-_=&", 180), ",".join(str(r.randrange(100, 1000)) for _ in range(74)), draw("ABCDEFabcdef0123456789+/", 160), sentence(r, 30)]
+    rows = list(base)
+    for t in base:
+        for at in (0, 10, len(t) // 2, len(t)):
+            rows += [t[:at] + "Z" + t[at:], t[:at] + t[at + 1 :]]
+    rows += [t[:80] + draw("vwxyz", len(t) - 80) for t in base] + ["short", "shor", "1234567", "12345678", "123456789"]
+    sh = {t: {t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in rows}
+    distinct = sorted(set(rows))
+    comp = groups([(a, b) for k, a in enumerate(distinct) for b in distinct[:k] if len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b])], distinct)
+    want = {comp[t]: i for i, t in reversed(list(enumerate(rows)))}
+    got = lines.dedup_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(want.values())
+    assert len(want) == len(base) * 2 + 5
+
+
 def test_lines_are_native_and_survive_edges(spark, edge, empty):
     plan = lines.signatures(edge, "text")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
