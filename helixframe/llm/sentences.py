@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at . ! ? or a line break. From every sentence on, a span is the shortest run of at least SENTENCES
-sentences and MIN_WORDS words, or of LONG_WORDS words in fewer. Spans are hashed (128 bits, over lower-cased words), and a
-span that occurs more than once anywhere repeats. Every sentence that lies in an occurrence other than the first one goes.
+Sentences end at . ! ? or a line break. A run of at least SENTENCES sentences and MIN_WORDS words, or of LONG_WORDS words
+in fewer, is long enough. Spans are the shortest such runs from every sentence on and up to every sentence; each longer run
+is covered by them, and repeats where they do. Spans are hashed (128 bits, over lower-cased words), and a span that occurs
+more than once anywhere repeats. Every sentence that lies in an occurrence other than the first one goes.
 
 First: smallest doc_id, null ids last, then row key and place. Null and empty texts have no sentences and stay. Rows
 equal in id and text are treated alike; a text may become empty.
@@ -40,14 +41,23 @@ def spans(text: str | None) -> Iterator[tuple[int, int, bytes]]:
     digest = [xxhash.xxh3_64_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
     total = np.concatenate(([0], np.cumsum([len(w) for w in words]))).tolist()
     n = len(words)
+    enough = lambda i, e: (e - i >= SENTENCES and total[e] - total[i] >= MIN_WORDS) or total[e] - total[i] >= LONG_WORDS
+    forward = []  # shortest run from each sentence, as far as there is one
     j = 0
     for i in range(n):
         j = max(j, i + 1)
-        enough = lambda e: (e - i >= SENTENCES and total[e] - total[i] >= MIN_WORDS) or total[e] - total[i] >= LONG_WORDS
-        while j < n and not enough(j):
+        while j < n and not enough(i, j):
             j += 1
-        if not enough(j):
-            return
+        if not enough(i, j):
+            break
+        forward.append(j)
+    i = 0
+    for e in range(1, n + 1):  # shortest run up to each sentence; one from i = e on would be empty
+        while i + 1 < e and enough(i + 1, e):
+            i += 1
+        if enough(i, e) and forward[i] != e:
+            yield i, e, xxhash.xxh3_128_digest(b"".join(digest[i:e]))
+    for i, j in enumerate(forward):
         yield i, j, xxhash.xxh3_128_digest(b"".join(digest[i:j]))
 
 
