@@ -74,9 +74,14 @@ def _(s, d):
 U32 = "('0x'||substr(md5({0}),1,8))::bigint"
 
 
+def _adjacent(s, d):
+    f, n = key_fragments(s, d)
+    return pairing.adjacent(f, n, max_pairs=max(1, n)).pairs
+
+
 @query("pairs_adjacent", with_ctes("frags") + "select a.fragment_id as pair_id, a.sequence as seq_a, b.sequence as seq_b from frags a join frags b on b.fragment_id = a.fragment_id + 1")
 def _(s, d):
-    return pairing.adjacent(*key_fragments(s, d)).pairs
+    return _adjacent(s, d)
 
 
 ALL_PAIRS = "select a.fragment_id*((select n from n)-1) + b.fragment_id - (case when b.fragment_id > a.fragment_id then 1 else 0 end) as pair_id, a.sequence as seq_a, b.sequence as seq_b from frags a join frags b on a.fragment_id <> b.fragment_id"
@@ -99,7 +104,8 @@ _DRAWS = f"draws as (select fragment_id as i, r, {U32.format(chr(39) + '42|' + c
 
 @query("pairs_sampled", with_ctes("frags").rstrip() + f", {_DRAWS} select * from sampled")
 def _(s, d):
-    return pairing.sampled(*key_fragments(s, d), k=_K).pairs
+    f, n = key_fragments(s, d)
+    return pairing.sampled(f, n, k=_K, max_pairs=max(1, n * _K)).pairs
 
 
 _MUT = (
@@ -109,14 +115,19 @@ _MUT = (
 _HAM = "list_sum(list_transform(range(1,length(seq_a)+1), lambda i: (case when substr(seq_a,i::int,1) = substr(seq_b,i::int,1) then 0 else 1 end)::int))::int"
 
 
+def _mutated(s, d):
+    f, n = key_fragments(s, d)
+    return pairing.mutated_queries(f, n, k=2, max_pairs=max(1, n * 2)).pairs
+
+
 @query("pairs_mutated", with_ctes("frags").rstrip() + f", {_MUT} select * from mutated")
 def _(s, d):
-    return pairing.mutated_queries(*key_fragments(s, d), k=2).pairs
+    return _mutated(s, d)
 
 
 @query("mutation_stats", with_ctes("frags").rstrip() + f", {_MUT} select sum(length(seq_a))::bigint as bases_processed, sum({_HAM})::bigint as bases_mutated, sum({_HAM})::double / sum(length(seq_a)) as observed_mutation_rate from mutated")
 def _(s, d):
-    return pairing.mutation_stats(pairing.mutated_queries(*key_fragments(s, d), k=2).pairs)
+    return pairing.mutation_stats(_mutated(s, d))
 
 
 @query("pair_stats", "with n as (select count(*) as n from supplier), e as (select 'adjacent' as pairing_mode, n-1 as expected_pairs from n union all select 'all_vs_all', n*(n-1) from n union all select 'sampled', n*5 from n union all select 'mutated_queries', n*2 from n) select pairing_mode, expected_pairs::bigint as expected_pairs, least(expected_pairs,1000)::bigint as generated_pairs, expected_pairs > 1000 as truncated from e")
@@ -148,7 +159,7 @@ def _(s, d):
 
 @query("hamming_similarity", with_ctes("frags") + "select a.fragment_id as pair_id, hamming(a.sequence,b.sequence)::int as distance, 100.0::double*(1.0::double - hamming(a.sequence,b.sequence)::double/length(a.sequence)) as similarity from frags a join frags b on b.fragment_id = a.fragment_id+1")
 def hamming_similarity(s, d):
-    return scoring.hamming(pairing.adjacent(*key_fragments(s, d)).pairs)
+    return scoring.hamming(_adjacent(s, d))
 
 
 @query("hamming_2bit", with_ctes("doc_dna", "doc_pairs") + "select pair_id, hamming(upper(seq_a),upper(seq_b))::int as distance from doc_pairs")
