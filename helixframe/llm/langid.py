@@ -2,19 +2,20 @@
 
 Letters are lower-cased, everything else is a word boundary. N-grams of 1 to 4 characters of the words with their
 boundaries are hashed to `dims` counters. Training sums counters by language in each task, then over tasks; the log
-probabilities (languages by counters) are broadcast, which their fixed shape bounds. Scoring is a gather of that matrix
-at a batch's n-gram numbers and a sum by text.
+probabilities (languages by counters) are broadcast, and their shape is bounded: more than MAX_LANGS languages raise an
+error, none is ever left out. Scoring is a gather of that matrix at a slab's n-gram numbers and a sum by text.
 
-Training rows are a bounded sample: at most about `max_train` per language, by a hash of text and id, and at most
-MAX_LANGS languages (the most frequent, ties by name). Every text is scored whole.
+Training rows are a bounded sample: about `max_train` a language, by a hash of id and text. Every text is scored whole.
 
 Defined results: a null text, or one without letters, is `und` with score 0; with nothing to learn from, every text is
-`und` with score 0. Null or repeated ids and repeated rows are scored like any other row. Ties go to the first language
-in order of name.
+`und` with score 0. Rows that repeat, or have null ids, are scored like any other and count in training as often as they
+stand there. Ties go to the first language in order of name. A very long text is one slab of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,91 +26,97 @@ from helixframe.llm.text import annotate, is_kind, mix, slabs, to_codes
 DIMS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 MAX_TRAIN = 20_000
-MAX_LANGS = 500
+#: Bound of the broadcast model: this many languages of DIMS floats are 131 MB.
+MAX_LANGS = 1_000
 UNDETERMINED = "und"
 
 
-def grams(texts: list[str | None], dims: int = DIMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counter numbers, offsets of each text, letters in each text)."""
-    codes, bounds = to_codes([(t or "").lower() for t in texts])
-    letter = is_kind(codes, "letter")
-    sym = np.where(letter, codes.astype(np.uint64) + np.uint64(2), np.uint64(1))
-    # A boundary is one symbol however long: drop non-letters that follow a non-letter inside a text.
-    first = np.zeros(len(sym), bool)
-    first[bounds[:-1]] = True
-    keep = letter | np.concatenate(([True], letter[:-1])) | first
-    where = np.concatenate(([0], np.cumsum(keep)))
-    sym, bounds = sym[keep], where[bounds]
-    letters = np.diff(np.concatenate(([0], np.cumsum(letter[keep])))[bounds])
-    n = len(sym)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    numbers, owner = [], []
-    h = np.zeros(n, np.uint64)
-    for k in range(max(ORDERS)):
-        m = n - k
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(0x100000001B3) + sym[k : k + m]
-        if k + 1 in ORDERS:
-            ok = doc[:m] == doc[k : k + m]
-            numbers.append((mix(h[ok] + np.uint64(k)) & np.uint64(dims - 1)).astype(np.int32))
-            owner.append(doc[:m][ok])
-    number, own = np.concatenate(numbers), np.concatenate(owner)
-    order = np.argsort(own, kind="stable")
-    return number[order], np.searchsorted(own[order], np.arange(len(texts) + 1)), letters
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
+class Grams:
+    """N-grams of a slab of texts, one order after another."""
+
+    def __init__(self, texts: list[str | None]):
+        codes, bounds = to_codes([(t or "").lower() for t in texts])
+        letter = is_kind(codes, "letter")
+        # A boundary is one symbol however long: drop non-letters that follow a non-letter inside a text.
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[bounds[:-1]] = True
+        where = np.concatenate(([0], np.cumsum(keep)))
+        letter, self.bounds = letter[keep], where[bounds]
+        self.symbols = np.where(letter, codes[keep].astype(np.uint64) + np.uint64(2), np.uint64(1))
+        self.letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[self.bounds])
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.bounds))
+
+    def orders(self, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(counter number at each place, text of each place) of the places whose n-gram lies within one text."""
+        h = np.zeros(len(self.symbols), np.uint64)
+        for k in range(min(max(ORDERS), len(self.symbols))):
+            m = len(self.symbols) - k
+            h = h[:m] * np.uint64(0x100000001B3) + self.symbols[k:]
+            if k + 1 in ORDERS:
+                inside = self.text[:m] == self.text[k:]
+                yield (mix(h[inside] + np.uint64(k)) & np.uint64(dims - 1)).astype(np.int32), self.text[:m][inside]
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", dims: int = DIMS, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities). `labelled` holds the rows one may learn from; null languages are left out."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: the model would outgrow its bound")
     if not langs:
         return [], np.zeros((0, dims), np.float32)
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, max_train / sizes[k])))])
-    draw = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(F.col("lang").isin(langs)).filter(draw < rate[F.col("lang")])
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.filter(draw < rate[F.col("lang")]).select("text", "lang")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
             texts, names = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for i, j in slabs(texts):
-                number, off, _ = grams(texts[i:j], dims)
-                size = np.diff(off)
-                tags = np.array(names[i:j], dtype=object)
-                for k in set(names[i:j]):
-                    mine = np.repeat(tags == k, size)
-                    total[k] = total.get(k, 0) + np.bincount(number[mine], minlength=dims)
+                grams = Grams(texts[i:j])
+                own, code = np.unique(np.array(names[i:j], dtype=object), return_inverse=True)
+                for number, doc in grams.orders(dims):
+                    c = np.bincount(code[doc] * dims + number, minlength=len(own) * dims).reshape(len(own), dims)
+                    for k, v in zip(own, c):
+                        total[k] = total.get(k, 0) + v
         for k, v in total.items():
             nz = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(nz), pa.string()), pa.array(nz.astype(np.int32)), pa.array(v[nz].astype(np.int64))], names=["lang", "g", "n"])
 
+    def logs(t: pa.Table) -> pa.Table:
+        counts = np.zeros(dims)
+        counts[t.column("g").to_numpy()] = t.column("n").to_numpy()
+        p = np.log((counts + 0.5) / (counts.sum() + 0.5 * dims)).astype(np.float32)
+        return pa.table({"lang": t.column("lang").slice(0, 1), "p": pa.array([p], pa.list_(pa.float32()))})
+
     sums = sample.mapInArrow(count, "lang string, g int, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(langs), dims))
-    at = {k: i for i, k in enumerate(langs)}
-    for r in sums.toLocalIterator():  # at most MAX_LANGS * dims rows
-        counts[at[r["lang"]], r["g"]] = r["n"]
-    return langs, np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * dims)).astype(np.float32)
+    got = {r["lang"]: np.array(r["p"], np.float32) for r in sums.groupBy("lang").applyInArrow(logs, "lang string, p array<float>").collect()}  # one row a language
+    return langs, np.stack([got.get(k, np.full(dims, -np.log(dims), np.float32)) for k in langs])
 
 
 def predict_batch(texts: list[str | None], langs: list[str], log_p: np.ndarray) -> tuple[list[str], list[float]]:
     names: list[str] = []
     scores: list[float] = []
     for i, j in slabs([t or "" for t in texts]):
-        number, off, letters = grams(texts[i:j], log_p.shape[1] if len(langs) else DIMS)
         if not langs:
             names += [UNDETERMINED] * (j - i)
             scores += [0.0] * (j - i)
             continue
-        size = np.maximum(np.diff(off), 1)
-        total = np.stack([np.diff(np.concatenate(([0.0], np.cumsum(row[number], dtype=np.float64)))[off]) for row in log_p])
+        grams = Grams(texts[i:j])
+        total, size = np.zeros((len(langs), j - i)), np.zeros(j - i)
+        for number, doc in grams.orders(log_p.shape[1]):
+            size += np.bincount(doc, minlength=j - i)
+            for k, row in enumerate(log_p):
+                total[k] += np.bincount(doc, row[number], j - i)
         best = total.argmax(axis=0)
         # Tempered posterior: neighbouring n-grams overlap, so evidence counts as that of a quarter of them, 400 at most.
-        z = (total - total.max(axis=0)) * np.minimum(1 / len(ORDERS), 400 / size)
+        z = (total - total.max(axis=0)) * np.minimum(1 / len(ORDERS), 400 / np.maximum(size, 1))
         p = 1 / np.exp(z).sum(axis=0)
-        names += [langs[b] if n else UNDETERMINED for b, n in zip(best, letters)]
-        scores += [float(x) if n else 0.0 for x, n in zip(p, letters)]
+        names += [langs[b] if n else UNDETERMINED for b, n in zip(best, grams.letters)]
+        scores += [float(x) if n else 0.0 for x, n in zip(p, grams.letters)]
     return names, scores
 
 

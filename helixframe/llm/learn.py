@@ -67,10 +67,11 @@ class Isotonic:
     """Non-decreasing map to probabilities by pooling neighbours that violate the order, linear between pools."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.argsort(x, kind="stable")
+        at, inv = np.unique(x, return_inverse=True)  # equal scores are one pool from the start
+        n, total = np.bincount(inv, minlength=len(at)), np.bincount(inv, y, len(at))
         pools: list[list[float]] = []  # sum, count, sum of x
-        for a, b in zip(x[order].tolist(), y[order].tolist()):
-            pools.append([b, 1.0, a])
+        for a, c, b in zip(at.tolist(), n.tolist(), total.tolist()):
+            pools.append([b, float(c), a * c])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 s, n, t = pools.pop()
                 pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + t]

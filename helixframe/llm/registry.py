@@ -48,8 +48,8 @@ def op3_chat_format(spark, d):
 @query
 def op4_toxicity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    known = docs.filter(~langid.held_out(F.col("doc_id"), 5, 0)).join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
-    marked = toxicity.score(docs, toxicity.train(known))
+    known = table(spark, d, "labels").filter(~langid.held_out(F.col("doc_id"), 5, 0))
+    marked = toxicity.score(docs, toxicity.train(docs, known))
     return marked.select("row.doc_id", langid.held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 

@@ -13,12 +13,18 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Store:
     """Writes a table as Parquet, which cuts lineage and survives lost executors, and reads it back.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests) a local temporary folder is taken. Shuffle files
-    of a step are removed as soon as its table is written. What is not dropped goes when the JVM ends.
+    The folder is spark.checkpoint.dir, or what setCheckpointDir was given. Only in local mode, where one machine does
+    everything, a temporary folder stands in for an unset one; on a cluster that is an error, since executors would write
+    where the driver cannot read. Shuffle files of a step are removed as soon as its table is written. What is not
+    dropped goes when the JVM ends. Needs a classic session (not Spark Connect) to delete folders.
     """
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp()
         self.spark, self.root, self._n = spark, f"{base}/helixframe-{uuid.uuid4().hex}", 0
         self._fs_path(self.root, lambda fs, p: fs.deleteOnExit(p))
 

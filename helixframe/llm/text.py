@@ -9,9 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Characters worked on at once, unless a single text is longer.
-SLAB_CHARS = 1 << 20
+SLAB_CHARS = 1 << 17
+#: Rows of an Arrow batch turned into Python values at once.
+SLICE_ROWS = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -121,21 +125,24 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def annotate(df: DataFrame, columns: list[str], f: Callable[..., list[pa.Array]], added: str) -> DataFrame:
-    """`row` (a struct of all columns of df, untouched) and what f makes of the named columns of each Arrow batch.
+    """`row` (a struct of all columns of df, untouched) and what f makes of the named columns.
 
-    f gets one Python list for each column and returns arrays for `added`, a DDL list of columns. Other columns, whatever
-    their names, pass through inside the struct.
+    f gets one Python list for each column, at most SLICE_ROWS values long, and returns arrays for `added`, a DDL list of
+    columns. Only the named columns go through Python; the others, whatever their names, stay where they are, and those
+    that are never used are not read.
     """
-    from pyspark.sql.types import StructType
-
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[df[c].alias(f"in{i}") for i, c in enumerate(columns)])
-    schema = StructType(packed.select("row").schema.fields + StructType.fromDDL(added).fields)
-    names = schema.names
-    n = len(columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = f(*[batch.column(i + 1).to_pylist() for i in range(n)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
-
-    return packed.mapInArrow(run, schema)
+    kind = StructType.fromDDL(added)
+    arrow = to_arrow_type(kind)
+
+    def run(packed: pa.Array) -> pa.Array:
+        parts = [pa.array([], arrow)]
+        for i in range(0, len(packed), SLICE_ROWS):
+            made = f(*[c.to_pylist() for c in packed.slice(i, SLICE_ROWS).flatten()])
+            parts.append(pa.StructArray.from_arrays([m.cast(t.type) for m, t in zip(made, arrow)], fields=list(arrow)))
+        return pa.concat_arrays(parts)
+
+    # Not deterministic for the optimiser, so that it neither repeats the work nor moves it.
+    made = F.arrow_udf(run, kind).asNondeterministic()
+    work = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.struct(*[df[c].alias(f"in{i}") for i, c in enumerate(columns)]).alias("given"))
+    out = work.select("row", made("given").alias("made"))
+    return out.select("row", *[F.col("made")[c].alias(c) for c in kind.names])

@@ -6,11 +6,13 @@ strengths of lexicon words, how many stand near a second-person pronoun, and rat
 inside words, stretched letters and the like. Lexicon features of training rows come from the other folds, so trees see
 what they will see on new text. Isotonic calibration uses predictions on the fold a model was not fitted on.
 
-Training takes at most about MAX_TRAIN labelled rows, by a hash of the text; every text is scored whole.
+Training takes about MAX_TRAIN labelled rows, drawn by a hash of the id and, where ids repeat, thinned to that number; the
+drawn rows are stored once. Every text is scored whole.
 
-Defined results: null and empty texts score like a text of no words, never an error. With no training rows, or only one
-class, every score is the share of toxic rows (0 with none). Repeated rows score alike; labels that repeat an id count
-once each; null labels are left out.
+Defined results: null and empty texts score like a text of no words, never an error. With no training rows, or rows of
+one class only, every score is the share of toxic labels (0 with none). Repeated rows score alike, and equal texts fall
+into one fold; a repeated pair of id and label counts once; null labels and ids are left out; a very long text is scored
+like any other. Other columns, whatever their names, pass through in `row`.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import features
 from helixframe.llm.learn import BoostedTrees, Isotonic
+from helixframe.llm.store import Store
 from helixframe.llm.text import SpanHash, annotate, is_kind, per_text, runs, segment_sum, slabs, to_codes
 
 MAX_TRAIN = 12_000
 FOLDS = 3
 PREFIXES = (4, 5, 6, 7, 8)
-LEXICON = 4_000
+#: How surely a word beginning must tell toxic rows apart (in standard errors) to enter the lexicon.
+CERTAIN = 2.5
 NEAR = 6
 #: Second-person forms in English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch ihr sie tu te toi ton ta vous votre tú ti tus usted ustedes vosotros su".split()
@@ -80,26 +84,43 @@ def lexicon_features(texts: list[str | None], lexicon: tuple[np.ndarray, np.ndar
 
 
 def _lexicon(keys: np.ndarray, pos: np.ndarray, neg: np.ndarray, p: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The LEXICON word beginnings that tell toxic rows apart with most certainty, sorted, and their log odds."""
+    """The word beginnings that tell toxic rows apart, sorted, and their log odds."""
     odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.flatnonzero((pos >= 2) & (z >= 2.5))
-    good = good[np.argsort(-z[good], kind="stable")[:LEXICON]]
+    good = np.flatnonzero((pos >= 2) & (odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= CERTAIN))
     good = good[np.argsort(keys[good])]
     return keys[good], odds[good]
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> dict:
-    """A model from the rows one may learn from (columns text, label)."""
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).filter("y is not null")
-    h = F.xxhash64("text", F.lit(4))
-    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
-    n_all, p_all = sizes["n"], sizes["p"]
-    if not n_all or not 0 < p_all < n_all:
-        return {"constant": float(p_all / n_all) if n_all else 0.0}
-    # Rows of the rarer class are drawn first: each class gets up to half of the bound.
-    rate = F.when(F.col("y") == 1, min(1.0, max_train / 2 / p_all)).otherwise(min(1.0, (max_train - min(p_all, max_train / 2)) / (n_all - p_all)))
-    sample = rows.filter(F.pmod(F.shiftright(h, 20), F.lit(1 << 30)) / float(1 << 30) < rate).withColumn("fold", F.pmod(h, F.lit(FOLDS)).cast("int"))
+def _drawn(docs: DataFrame, labels: DataFrame, store: Store, doc_id: str, text: str, label: str, most: int) -> tuple[DataFrame | None, float]:
+    """(text, y, fold) of the training rows, stored, or None with fewer than two classes; the share of toxic labels."""
+    marks = labels.select(F.col(doc_id).alias("id"), (F.col(label).cast("int") > 0).cast("int").alias("y")).filter("y is not null and id is not null").distinct()
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    share = sizes.get(1, 0) / total if total else 0.0
+    if len(sizes) < 2:
+        return None, share
+    # Each class gets half of the bound, or what the other leaves.
+    room = {1: max(most // 2, most - sizes[0]), 0: max(most - most // 2, most - sizes[1])}
+    by_class = lambda rate: F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
+    u = F.pmod(F.xxhash64("id", "y", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    ids = store.put(marks.filter(u < by_class({k: min(1.0, room[k] / sizes[k]) for k in sizes})), "drawn")
+    ids = F.broadcast(ids)  # about `most` rows, by the draw
+    found = docs.select(F.col(doc_id).alias("id")).join(ids, "id").groupBy("y").agg(F.count("*").alias("n")).collect()
+    found = {0: 0, 1: 0} | {r["y"]: r["n"] for r in found}
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "id")
+    thin = {k: min(1.0, room[k] / max(found[k], 1)) for k in found}
+    if min(thin.values()) < 0.9:  # an id of many rows
+        rows = rows.filter(F.rand(4) < by_class(thin))
+    rows = store.put(rows.select("text", "y", F.pmod(F.xxhash64("text", F.lit(4)), F.lit(FOLDS)).cast("int").alias("fold")), "training")
+    return (rows if rows.select("y").distinct().count() == 2 else None), share
+
+
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> dict:
+    """A model from the labels one may learn from (columns doc_id, label) and the documents they name."""
+    store = Store(docs.sparkSession)
+    sample, share = _drawn(docs, labels, store, doc_id, text, label, max_train)
+    if sample is None:
+        return {"constant": share}
 
     def stems(batches):
         for b in batches:
@@ -116,21 +137,20 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_tra
     names = [f"c{k}" for k in range(2 * FOLDS)]
     counts = sample.mapInArrow(stems, "s bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("s").agg(*[F.sum(c).alias(c) for c in names])
     pos, neg = sum(F.col(f"c{2 * k + 1}") for k in range(FOLDS)), sum(F.col(f"c{2 * k}") for k in range(FOLDS))
-    totals = sample.groupBy("fold", "y").count().collect()
     size = np.zeros((FOLDS, 2), np.int64)
-    for r in totals:
+    for r in sample.groupBy("fold", "y").count().collect():
         size[r["fold"], r["y"]] = r["count"]
-    ratio = float(size[:, 1].sum()) / max(1, int(size.sum()))
-    lift = (pos + 0.5) / (pos + neg + 1.0)
-    best = counts.filter((pos >= 2) & (lift > 1.5 * ratio)).orderBy((lift * F.sqrt(pos)).desc(), "s").limit(8 * LEXICON).toPandas()
-    keys = best["s"].to_numpy(np.int64).view(np.uint64)
-    c = best[names].to_numpy(np.float64).reshape(len(keys), FOLDS, 2)
+    p, n = float(size[:, 1].sum()), float(size[:, 0].sum())
+    odds = F.log((pos + 0.5) / (F.lit(p) - pos + 0.5)) - F.log((neg + 0.5) / (F.lit(n) - neg + 0.5))
+    certain = counts.filter((pos >= 2) & (odds / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= CERTAIN)).toPandas()  # of the bounded sample
+    keys = certain["s"].to_numpy(np.int64).view(np.uint64)
+    c = certain[names].to_numpy(np.float64).reshape(len(keys), FOLDS, 2)
     whole = _lexicon(keys, c[:, :, 1].sum(1), c[:, :, 0].sum(1), size[:, 1].sum(), size[:, 0].sum())
     folds = []
     for k in range(FOLDS):
         rest = [i for i in range(FOLDS) if i != k]
         folds.append(_lexicon(keys, c[:, rest, 1].sum(1), c[:, rest, 0].sum(1), size[rest, 1].sum(), size[rest, 0].sum()))
-    held = labelled.sparkSession.sparkContext.broadcast(folds)
+    held = docs.sparkSession.sparkContext.broadcast(folds)
 
     def rows_of(batches):
         for b in batches:
@@ -144,14 +164,14 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_tra
 
     got = sample.mapInArrow(rows_of, "y int, fold int, x array<double>").toPandas()
     x, y, fold = np.stack(got["x"].to_numpy()), got["y"].to_numpy(np.float64), got["fold"].to_numpy()
-    order = np.lexsort((*x.T[:3], y))  # the rows' order must not depend on the cluster
+    order = np.lexsort((*x.T, y))  # the rows' order must not depend on the cluster
     x, y, fold = x[order], y[order], fold[order]
     out = np.zeros(len(y))
     for k in range(FOLDS):
-        if (fold == k).any() and (fold != k).any():
+        if (fold == k).any() and 0 < y[fold != k].sum() < (fold != k).sum():
             out[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
     # Classes were drawn at different rates: weigh the calibrated odds back.
-    weight = (p_all / n_all) / (1 - p_all / n_all) / (y.mean() / (1 - y.mean()))
+    weight = share / (1 - share) / (y.mean() / (1 - y.mean()))
     return {"trees": BoostedTrees().fit(x, y), "isotonic": Isotonic().fit(out, y), "lexicon": whole, "odds": float(weight)}
 
 
