@@ -166,13 +166,16 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     x, y, fold = np.stack(got["x"].to_numpy()), got["y"].to_numpy(np.float64), got["fold"].to_numpy()
     order = np.lexsort((*x.T, y))  # the rows' order must not depend on the cluster
     x, y, fold = x[order], y[order], fold[order]
-    out = np.zeros(len(y))
+    trees, out, done = BoostedTrees().fit(x, y), np.zeros(len(y)), np.zeros(len(y), bool)
     for k in range(FOLDS):
         if (fold == k).any() and 0 < y[fold != k].sum() < (fold != k).sum():
             out[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+            done |= fold == k
+    if not 0 < y[done].sum() < done.sum():  # so few different texts that no fold can be left out
+        out, done = trees.margin(x), np.ones(len(y), bool)
     # Classes were drawn at different rates: weigh the calibrated odds back.
     weight = share / (1 - share) / (y.mean() / (1 - y.mean()))
-    return {"trees": BoostedTrees().fit(x, y), "isotonic": Isotonic().fit(out, y), "lexicon": whole, "odds": float(weight)}
+    return {"trees": trees, "isotonic": Isotonic().fit(out[done], y[done]), "lexicon": whole, "odds": float(weight)}
 
 
 def score_batch(texts: list[str | None], model: dict) -> np.ndarray:
