@@ -28,10 +28,19 @@ def op1_quality(spark, d):
     return quality.score(docs, quality.train(docs, table(spark, d, "labels")))
 
 
+#: Target weights of the mixture. No source outweighs another; other languages and topics get nothing.
+MIX_TARGETS = {
+    "source": "equal",
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15},
+    "topic": {"article": 0.5, "long": 0.2, "short": 0.2, "table": 0.04, "symbolic": 0.03, "numeric": 0.03},
+}
+
+
 @query
 def op2_source_mixing(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs).select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+    out = mixing.mix(docs, targets=MIX_TARGETS)
+    return out.select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "residual", "selected")
 
 
 #: A conversation that tries to close its own turns, in the list layout.
