@@ -5,11 +5,14 @@ of every item. Documents are streamed through it a word at a time; it keeps the
 that some item holds. A length of `window` or more marks the last `window` words; items shorter than the window count as
 one window of their own length.
 
-The automaton is sent to every task, so its size is bounded: items are dealt into shards of at most `shard_words` words,
-one pass each, in the same scan (no shuffle), so any number of items works.
-
-Nulls: a null text has no words, is never contaminated and stays as it is. An empty benchmark hits nothing. Rows that
-repeat are scored alike; a null item_id counts as the empty string.
+Memory is bounded by one automaton: items are dealt into shards of at most `shard_words` words (or one item). A benchmark of one
+shard, the usual case, is one scan without a shuffle. With more, shards are taken one after another: each is broadcast, the
+documents are scanned, the hits (no texts) are stored and the broadcast is dropped; then hits are joined to the documents.
+Both ways give the same rows.
+
+Nulls: a null text has no words, is never contaminated and stays as it is; an empty or null item has no window, and an empty
+benchmark or table hits nothing. Rows that repeat are scored alike; a null item_id counts as the empty string, items that
+share an id count once. A very long text is streamed like any other. Other columns, whatever their names, pass through in `row`.
 """
 
 from __future__ import annotations
@@ -17,12 +20,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.rows import packed, row_key
+from helixframe.llm.store import Store
 from helixframe.llm.text import annotate
 
 WINDOW = 13
@@ -220,28 +227,56 @@ def item_shards(benchmark: DataFrame, item: str, text: str, shard_words: int) ->
         yield shard
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`row` (the document), n_words, spans (hit word ranges) and items (ids with occurring windows). No shuffle."""
-    sc = docs.sparkSession.sparkContext
-    autos = [sc.broadcast(Automaton(s, window)) for s in item_shards(benchmark, item, item_text, shard_words)]
+_SCANNED = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan(docs: DataFrame, held, text: str) -> DataFrame:
+    """`row`, n_words, spans and items, by one broadcast automaton."""
 
     def scan(texts: list) -> list[pa.Array]:
         n_words, spans, items = [], [], []
         for t in texts:
             words = words_of(t)
-            hit: list[tuple[int, int]] = []
-            names: set[str] = set()
-            for a in autos:
-                found, numbers = a.value.scan(words)
-                hit += found
-                names |= {a.value.names[k] for k in numbers}
+            found, numbers = held.value.scan(words)
             n_words.append(len(words))
-            spans.append([{"start": s, "end": e} for s, e in union(hit)])
-            items.append(sorted(names))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return [pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+            spans.append([{"start": s, "end": e} for s, e in union(found)])
+            items.append(sorted({held.value.names[k] for k in numbers}))
+        return [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
 
-    return annotate(docs, [text], scan, "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
+    return annotate(docs, [text], scan, _SCANNED)
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """`row` (the document), n_words, spans (hit word ranges) and items (ids with occurring windows)."""
+    sc = docs.sparkSession.sparkContext
+    shards = item_shards(benchmark, item, item_text, shard_words)
+    first, second = next(shards, []), next(shards, None)
+    if second is None:
+        return _scan(docs, sc.broadcast(Automaton(first, window)), text)
+    store = Store(docs.sparkSession)
+    keyed = docs.select(*row_key(doc_id, text), F.col(text).alias("text"))
+    hits = []
+    for shard in chain([first, second], shards):
+        held = sc.broadcast(Automaton(shard, window))
+        hits.append(store.put(_scan(keyed, held, "text").filter(F.size("items") > 0).select("row.k1", "row.k2", "spans", "items"), "hits"))
+        held.destroy()
+    flat = lambda c: F.flatten(F.collect_set(c)).alias(c)
+    merged = reduce(DataFrame.unionByName, hits).groupBy("k1", "k2").agg(flat("spans"), flat("items"))
+    joined = packed(docs, doc_id, text).join(merged, ["k1", "k2"], "left")
+    none = F.array()
+    counted = joined.select("row", n_words(F.col(f"row.`{text}`")).alias("n_words"), F.coalesce("spans", none.cast(_SCANNED.split(", ")[1].split(" ", 1)[1])).alias("spans"), F.array_sort(F.array_distinct(F.coalesce("items", none.cast("array<string>")))).alias("items"))
+
+    def merge(spans: list) -> list[pa.Array]:
+        return [pa.array([[{"start": s, "end": e} for s, e in union([(x["start"], x["end"]) for x in p])] for p in spans], _SPANS)]
+
+    out = annotate(counted, ["spans"], merge, "merged array<struct<start:int,end:int>>")
+    return out.select(F.col("row.row").alias("row"), F.col("row.n_words").alias("n_words"), F.col("merged").alias("spans"), F.col("row.items").alias("items"))
+
+
+def n_words(text: Column) -> Column:
+    """How many words words_of finds."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
 
 
 def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -81,9 +81,9 @@ def test_fingerprint_is_the_one_spark_would_make(spark):
         assert simhash.fingerprint(t) == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 4])
-def test_links_join_every_pair_within_the_radius(spark, blocks):
-    r = random.Random(blocks)
+@pytest.mark.parametrize("rows", [20, 200, 8192])
+def test_links_join_every_pair_within_the_radius(spark, rows):
+    r = random.Random(rows)
     fps = {r.getrandbits(64) for _ in range(300)} | {0}
     for f in list(fps)[:60]:
         for _ in range(r.randrange(1, 6)):
@@ -94,7 +94,7 @@ def test_links_join_every_pair_within_the_radius(spark, blocks):
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
-    got = {x["node"]: x["component"] for x in components(simhash.links(df, Store(spark), blocks=blocks, shard_rows=20), Store(spark)).collect()}
+    got = {x["node"]: x["component"] for x in components(simhash.links(df, shard_rows=rows), Store(spark)).collect()}
     near = [(signed[i], signed[j]) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3]
     want = groups(near, signed)
     assert {n: got.get(n, n) for n in signed} == want
