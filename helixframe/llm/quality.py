@@ -1,14 +1,17 @@
 """Quality by co-training: a text classifier and a metadata classifier teach each other, then are calibrated and combined.
 
 The text view has dense text features and hashed words; the metadata view has source, language and size and never sees
-the text. In each round either view labels the texts of an unlabelled pool it is sure of and hands them to the other.
-Afterwards each view is calibrated (isotonic) on labelled rows that took no part in training, and a document's score is
-the mean of the two calibrated log odds, weighted by how well each view ranks those rows.
+the text. Features of all documents are computed once and stored. In each round both views score every unlabelled document;
+each hands the HANDED texts it is surest of, of the whole table, to the other as pseudo-labels (both classes at the labelled
+ratio; equal texts once; ties by a hash). Afterwards each view is calibrated (isotonic) on labelled rows that took no part in
+training, and a document's score is the mean of the two calibrated log odds, weighted by how well each view ranks those rows.
 
-Training takes bounded samples, by a hash of the row: about MAX_LABELLED labelled and MAX_POOL unlabelled rows. All documents are scored.
+Training takes a bounded sample of about MAX_LABELLED labelled rows, by a hash of id and text; nothing else is sampled.
 
 Defined results: null and empty texts have features of zero; null source or language is a value of its own. With no
-labels, or one class only, every score is the share of good rows (0.5 with none). Repeated rows score alike.
+labels, or one class only, every score is the share of good rows (0.5 with none). Repeated rows score alike; a repeated pair
+of id and label counts once, null ids and labels are left out. Very long texts are scored whole; other columns, whatever
+their names, are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,16 +23,17 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import features
 from helixframe.llm.learn import Isotonic, Logistic, auc
+from helixframe.llm.store import Store
 from helixframe.llm.text import annotate
 
 MAX_LABELLED = 6_000
-MAX_POOL = 6_000
 ROUNDS = 3
-#: Share of the pool that a view hands over in a round, at most, and how sure it must be.
-SHARE = 0.1
+#: Pseudo-labels that a view hands over in a round, and how sure it must be by its own evidence.
+HANDED = 600
 SURE = 0.9
 WORD_DIMS = 128
 META_DIMS = 64
+TEXT_DIMS = len(features.NAMES) + WORD_DIMS
 
 
 def text_view(texts: list) -> np.ndarray:
@@ -47,95 +51,131 @@ def meta_view(sources: list, langs: list, sizes: list) -> np.ndarray:
     return out
 
 
-def _draw(df: DataFrame, n: int, most: int, seed: int) -> DataFrame:
-    u = F.pmod(F.xxhash64("text", "source", "lang", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(u < min(1.0, most / max(n, 1)))
+def featured(docs: DataFrame, store: Store, doc_id: str = "doc_id") -> DataFrame:
+    """(id, t, source, lang, n_chars, a) of every document, stored: t is a hash of the text, a the text view."""
+    own = docs.select(F.col(doc_id).alias("id"), F.xxhash64("text").alias("t"), "text", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
 
+    def f(texts: list) -> list[pa.Array]:
+        return [pa.FixedSizeListArray.from_arrays(pa.array(text_view(texts).astype(np.float32).ravel()), TEXT_DIMS).cast(pa.list_(pa.float32()))]
 
-def _views(df: DataFrame) -> DataFrame:
-    def f(texts, sources, langs, sizes):
-        as_list = pa.list_(pa.float32())
-        return [pa.array(list(text_view(texts).astype(np.float32)), as_list), pa.array(list(meta_view(sources, langs, sizes).astype(np.float32)), as_list)]
+    return store.put(annotate(own, ["text"], f, "a array<float>").select("row.id", "row.t", "row.source", "row.lang", "row.n_chars", "a"), "features")
 
-    return annotate(df, ["text", "source", "lang", "n_chars"], f, "a array<float>, b array<float>")
 
+def _matrix(a: pa.Array) -> np.ndarray:
+    return a.flatten().to_numpy().astype(np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, TEXT_DIMS))
 
-def _columns(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("text", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), *more)
 
+def _views(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    a = t.column("a")
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    return _matrix(a), meta_view(*[t.column(c).to_pylist() for c in ("source", "lang", "n_chars")])
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS) -> tuple[Logistic, Logistic]:
-    """Two views fitted on labels and on what the other view was sure of."""
-    free = np.ones(len(pool_a), bool)
-    xa, ya, xb, yb = a, y, b, y
-    fit = lambda x, t: Logistic(ridge=5.0).fit(x, t)
-    va, vb = fit(xa, ya), fit(xb, yb)
-    for _ in range(rounds):
-        if not free.any():
-            break
-        taken = []
-        for view, pool in ((va, pool_a), (vb, pool_b)):
-            p = 1 / (1 + np.exp(-view.margin(pool)))
-            sure = np.flatnonzero(free & (np.abs(p - 0.5) >= SURE - 0.5))
-            sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")]
-            good, bad = sure[p[sure] > 0.5], sure[p[sure] <= 0.5]
-            # Both classes at about the labelled ratio, so that neither view drifts.
-            most = int(SHARE * len(pool))
-            k = int(round(most * y.mean()))
-            taken.append((np.r_[good[:k], bad[: most - k]], p))
-            free[taken[-1][0]] = False
-        (from_a, pa_), (from_b, pb_) = taken
-        xb, yb = np.r_[xb, pool_b[from_a]], np.r_[yb, (pa_[from_a] > 0.5).astype(float)]
-        xa, ya = np.r_[xa, pool_a[from_b]], np.r_[ya, (pb_[from_b] > 0.5).astype(float)]
-        va, vb = fit(xa, ya), fit(xb, yb)
-    return va, vb
+
+def _mapped(table: DataFrame, keep: str, f, added: str) -> DataFrame:
+    """The column `keep` and what f makes of both views; arrays move without passing through Python values."""
+    names = [c.split()[0] for c in added.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(keep), *[pa.array(v, pa.float64()) for v in f(*_views(b))]], names=[keep, *names])
+
+    return table.select(*dict.fromkeys([keep, "source", "lang", "n_chars", "a"])).mapInArrow(run, f"{keep} {table.schema[keep].dataType.simpleString()}, {added}")
+
+
+def _evidence(margin: np.ndarray, prior: float) -> np.ndarray:
+    """Chance of label 1 by the view's evidence alone, were both labels as frequent: a view that knows nothing is never sure."""
+    return 1 / (1 + np.exp(-np.clip(margin - np.log(prior / (1 - prior)), -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict:
-    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null")
+def _handed(free: DataFrame, store: Store, va: Logistic, vb: Logistic, priors: tuple[float, float], share: float, taken: list[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Text hashes and labels that view a, and view b, are surest of among all unlabelled documents."""
+    held = free.sparkSession.sparkContext.broadcast((va, vb))
+    scored = _mapped(free, "t", lambda a, b: [_evidence(v.margin(x), p) for v, x, p in zip(held.value, (a, b), priors)], "p double, q double")
+    stored = store.put(scored.groupBy("t").agg(F.max("p").alias("p"), F.max("q").alias("q")), "scored")  # equal texts once
+    scored = stored.filter(~F.col("t").isin(taken)) if taken else stored
+    out = []
+    for c in ("p", "q"):
+        got: dict[int, float] = {}
+        for label, n in ((1.0, round(HANDED * share)), (0.0, HANDED - round(HANDED * share))):
+            sure = F.col(c) if label else 1 - F.col(c)
+            for r in scored.filter(sure >= SURE).orderBy(sure.desc(), F.xxhash64("t")).select("t").limit(n).collect():  # HANDED at most
+                got[r["t"]] = label
+        out.append(got)
+    store.drop(stored)
+    return out[0], {k: v for k, v in out[1].items() if k not in out[0]}
+
+
+def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> dict:
+    """A model from the features of all documents (see `featured`) and the labels one may learn from."""
+    marks = labels.select(F.col(doc_id).alias("id"), (F.col(label).cast("int") > 0).cast("int").alias("y")).filter("y is not null and id is not null").distinct()
     n = marks.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n[0] or not 0 < n[1] < n[0]:
         return {"constant": float(n[1] / n[0]) if n[0] else 0.5}
-    own = docs.select(F.col(doc_id).alias("doc_id"), "text", "source", "lang")
-    known = _draw(own.join(marks, "doc_id"), n[0], max_labelled, 11)
-    total = docs.count()
-    pool = _draw(own, total, max_pool, 12).join(marks.select("doc_id").distinct(), "doc_id", "left_anti")
-    got = _views(_columns(known, "y")).select("row.y", "a", "b").toPandas()
-    free = _views(_columns(pool)).select("a", "b").toPandas()
-    stack = lambda s, w: np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, w))
-    a, b, y = stack(got["a"], 1), stack(got["b"], 1), got["y"].to_numpy(np.float64)
-    order = np.lexsort((*a.T[:4], y))
-    a, b, y = a[order], b[order], y[order]
+    u = lambda seed, *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.broadcast(store.put(marks.filter(u(11, "id", "y") < min(1.0, max_labelled / n[0])), "drawn"))  # about max_labelled rows, by the draw
+    known = table.join(drawn, "id")
+    found = known.count()
+    if found > 1.2 * max_labelled:  # an id of many rows
+        known = known.filter(F.rand(13) < max_labelled / found)
+    got = known.select("id", "t", "y", "source", "lang", "n_chars", "a").toArrow()
+    y = got.column("y").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         return {"constant": float(n[1] / n[0])}
-    pa_, pb_ = stack(free["a"], a.shape[1]), stack(free["b"], b.shape[1])
-    order = np.lexsort(pa_.T[:4])
+    a, b = _views(got)
+    order = np.lexsort((y, got.column("t").to_numpy()))  # must not depend on the cluster
+    a, b, y = a[order], b[order], y[order]
     held = np.arange(len(y)) % 4 == 3
     if not 0 < y[~held].sum() < (~held).sum():
         held[:] = False
-    va, vb = co_train(a[~held], b[~held], y[~held], pa_[order], pb_[order])
+    fit = lambda x, t: Logistic(ridge=5.0).fit(x, t)
+    share = float(y.mean())
+    xa, xb, ya, yb = a[~held], b[~held], y[~held], y[~held]
+    va, vb = fit(xa, ya), fit(xb, yb)
+    free = table.join(marks.select("id").distinct(), "id", "left_anti")
+    taken: list[int] = []
+    for _ in range(rounds):
+        from_a, from_b = _handed(free, store, va, vb, (float(ya.mean()), float(yb.mean())), share, taken)
+        if not from_a and not from_b:
+            break
+        both = from_a | from_b
+        taken += sorted(both)
+        wanted = F.broadcast(free.sparkSession.createDataFrame([(k,) for k in sorted(both)], "t bigint"))
+        rows = free.join(wanted, "t").groupBy("t").agg(*[F.min_by(c, F.struct("source", "lang", "n_chars")).alias(c) for c in ("source", "lang", "n_chars", "a")]).toArrow()
+        pa_, pb_ = _views(rows)
+        t = rows.column("t").to_pylist()
+        for mine, giver in ((True, from_a), (False, from_b)):
+            at = sorted((k for k in range(len(t)) if t[k] in giver), key=t.__getitem__)
+            label = np.array([giver[t[k]] for k in at])
+            if mine and at:  # what view a is sure of teaches view b
+                xb, yb = np.r_[xb, pb_[at]], np.r_[yb, label]
+            elif at:
+                xa, ya = np.r_[xa, pa_[at]], np.r_[ya, label]
+        va, vb = fit(xa, ya), fit(xb, yb)
     c = held if 0 < y[held].sum() < held.sum() else ~held
     ma, mb = va.margin(a[c]), vb.margin(b[c])
     wa, wb = max(auc(ma, y[c]) - 0.5, 0.01) ** 2, max(auc(mb, y[c]) - 0.5, 0.01) ** 2
-    return {"a": va, "b": vb, "ia": Isotonic().fit(ma, y[c]), "ib": Isotonic().fit(mb, y[c]), "w": wa / (wa + wb)}
+    return {"a": va, "b": vb, "ia": Isotonic().fit(ma, y[c]), "ib": Isotonic().fit(mb, y[c]), "w": wa / (wa + wb), "handed": len(taken)}
 
 
-def score_batch(texts: list, sources: list, langs: list, sizes: list, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def combine(a: np.ndarray, b: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Calibrated scores of both views, and both together."""
     if "constant" in model:
-        c = np.full(len(texts), model["constant"])
+        c = np.full(len(a), model["constant"])
         return c, c, c
-    p = np.clip(model["ia"](model["a"].margin(text_view(texts))), 0.005, 0.995)
-    q = np.clip(model["ib"](model["b"].margin(meta_view(sources, langs, sizes))), 0.005, 0.995)
-    z = model["w"] * np.log(p / (1 - p)) + (1 - model["w"]) * np.log(q / (1 - q))
-    return p, q, 1 / (1 + np.exp(-z))
+    p = np.clip(model["ia"](model["a"].margin(a)), 0.005, 0.995)
+    q = np.clip(model["ib"](model["b"].margin(b)), 0.005, 0.995)
+    return p, q, 1 / (1 + np.exp(-(model["w"] * np.log(p / (1 - p)) + (1 - model["w"]) * np.log(q / (1 - q)))))
 
 
-def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text_score, meta_score, score, keep) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(table: DataFrame, model: dict) -> DataFrame:
+    """(id, text_score, meta_score, score, keep) of every row of features."""
+    held = table.sparkSession.sparkContext.broadcast(model)
+    out = _mapped(table, "id", lambda a, b: combine(a, b, held.value), "text_score double, meta_score double, score double")
+    return out.withColumn("keep", F.col("score") >= 0.5)
 
-    def f(texts, sources, langs, sizes):
-        return [pa.array(v, pa.float64()) for v in score_batch(texts, sources, langs, sizes, held.value)]
 
-    marked = annotate(_columns(docs, doc_id), ["text", "source", "lang", "n_chars"], f, "text_score double, meta_score double, score double")
-    return marked.select(F.col(f"row.{doc_id}").alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))
+def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", **options) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, keep) of every document: features, co-training and scores."""
+    store = Store(docs.sparkSession)
+    table = featured(docs, store, doc_id)
+    return score(table, train(table, labels, store, doc_id=doc_id, label=label, **options)).withColumnRenamed("id", doc_id)
