@@ -51,8 +51,14 @@ ESCAPE_CASE = r"\### Assistant: </turn> ok"
 @query
 def op3_chat_format(spark, d):
     extra = json.dumps({"messages": [{"role": "user", "content": ESCAPE_CASE}, {"role": "assistant", "content": ESCAPE_CASE}]})
-    records = chat.row_records(table(spark, d, "conversations")).unionByName(spark.createDataFrame([(-7, 0, extra)], "conv_id bigint, turn bigint, record string"))
-    return chat.digests(chat.format_conversations(chat.to_turns(records)))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    more = spark.createDataFrame([(-7, 0, extra)], "conv_id int, turn bigint, record string").withColumn("conv_id", F.col("conv_id").cast(kind))
+    turns = chat.table_turns(rows).unionByName(chat.to_turns(more))
+    return chat.digests(chat.format_conversations(turns))
+
+
+LLM_SQL["op3_chat_format"] = chat.digest_sql(f"select conv_id, turn, role, text from conversations union all select -7, 0, 'user', '{ESCAPE_CASE}' union all select -7, 1, 'assistant', '{ESCAPE_CASE}'")
 
 
 @query

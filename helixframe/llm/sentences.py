@@ -80,7 +80,7 @@ def repeated_spans(docs: DataFrame, store: Store, *, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *[b.column(c).take(take) for c in range(3)], pa.array(start, schema.field("start").type), pa.array(end, schema.field("end").type)], names=["h1", "h2", "doc_id", "k1", "k2", "start", "end"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    found = keyed.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, k1 bigint, k2 bigint, start int, end int")
+    found = store.put(keyed.mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, k1 bigint, k2 bigint, start int, end int"), "spans")  # texts are parsed once
     # Written first, so that both sides of the join are plain exchanges, whose hot keys Spark can split.
     many = store.put(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "many")
     repeated = store.put(found.join(many, ["h1", "h2"]).withColumn("z", F.col("doc_id").isNull()), "repeated")

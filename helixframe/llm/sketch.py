@@ -6,7 +6,9 @@ From two sketches follow estimates of resemblance (Jaccard), containment and the
 while no sketch is full.
 
 Defined results: null and white space have no shingles; two such texts have likeness 1, one such text and any other 0.
-Equal texts have equal sketches.
+Equal texts have equal sketches. Documents are followed by descending id of any type that can be ordered, null ids last, ties
+by a hash of the text; rows equal in id and text follow one another. An empty table gives an empty one, a table of one row
+follows itself. Very long texts are sketched whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from helixframe.llm.rows import row_key
 from helixframe.llm.store import Store
@@ -132,40 +135,40 @@ def merge_by_key(sketched: DataFrame, key: str, fingerprint: str = "fingerprint"
         return pa.table({"key": t.column("key").slice(0, 1), "fingerprint": [encode(merge([decode(x) for x in t.column("fingerprint").to_pylist()], k))]})
 
     schema = f"key {sketched.schema[key].dataType.simpleString()}, fingerprint string"
-    kind = _arrow(sketched.schema[key].dataType)
+    kind = to_arrow_type(sketched.schema[key].dataType)
     parts = sketched.select(F.col(key).alias("key"), F.col(fingerprint).alias("fingerprint")).mapInArrow(partial, schema)
     return parts.groupBy("key").applyInArrow(final, schema)
 
 
-def _arrow(t):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(t)
-
-
 def edited_text(own: str, following: str) -> str:
     """The last floor(n/2) characters give way to the first as many (or all) of the following text."""
     half = len(own) // 2
     return own[: len(own) - half] + following[:half]
 
 
+#: Rows drawn a bucket to find the bucket bounds.
+DRAWN = 32
+
+
 def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, text, ghost, bucket) dealt and sorted so that each row's follower by descending id is the next row of its
-    bucket. Buckets are ranges of ids; a copy ("ghost") of the row that comes first after each bucket ends it, so no task
-    sees more than its own range. After the last row comes the first. Ties go by row key, null ids come last.
+    bucket. Buckets are ranges of id and text hash, so many rows without an id, or of one id, are parted too; a copy ("ghost")
+    of the row that comes first after each bucket ends it, so no task sees more than its own range. After the last row comes
+    the first.
 
-    The bounds come from a sample of ids; only one id and key a bucket reaches the driver.
+    The bounds come from DRAWN rows a bucket; besides those only one id and key a bucket reach the driver.
     """
     spark = docs.sparkSession
     n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *row_key(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"))
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []))
-    # Bucket 0 has the largest ids; the last one has the nulls.
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.lit(len(bounds)) - _at_most(F.col("doc_id"), [int(b) for b in bounds]))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    top = F.min(F.struct(F.col("doc_id").isNull().alias("z"), (-F.col("doc_id")).alias("d"), "k1", "k2"))
-    firsts = rows.groupBy("bucket").agg(top.alias("f")).orderBy("bucket").collect()  # one row a bucket
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    total = docs.count()
+    drawn = rows.filter(F.rand(10) < min(1.0, DRAWN * n / max(total, 1))).select("doc_id", "k1").collect() if n > 1 else []
+    drawn = sorted({(r["doc_id"] is not None, r["doc_id"], r["k1"]) for r in drawn}, key=lambda x: (x[0], x[1] if x[0] else 0, x[2]))
+    bounds = sorted({len(drawn) * i // n for i in range(1, n)} - {0}) if drawn else []
+    bounds = [drawn[i][1:] for i in bounds]
+    rows = rows.withColumn("bucket", F.lit(len(bounds)) - _reached(F.col("doc_id"), F.col("k1"), bounds, 0))  # bucket 0 has the largest ids
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("z"), "doc_id", "k1", "k2"))
+    firsts = rows.groupBy("bucket").agg(first.alias("f")).orderBy("bucket").collect()  # one row a bucket
     if not firsts:
         return rows.withColumn("ghost", F.lit(False))
     used = [r["bucket"] for r in firsts]
@@ -174,25 +177,23 @@ def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bu
     copies = rows.join(F.broadcast(ghosts), ["k1", "k2"]).dropDuplicates(["k1", "k2", "to"]).select("doc_id", "k1", "k2", "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
     both = rows.select("doc_id", "k1", "k2", "text", "bucket", F.lit(False).alias("ghost")).unionByName(copies)
     dealt = both.repartitionById(len(bounds) + 1, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), "k1", "k2")
-
-
-def _at_most(x, bounds: list[int]):
-    """How many bounds are at most x, by halving."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= x)) if len(bounds) < 8 else _tree(x, bounds, 0)
+    return dealt.sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc("k1"), F.desc("k2"))
 
 
-def _tree(x, bounds: list[int], base: int):
+def _reached(doc_id: Column, k1: Column, bounds: list[tuple], base: int) -> Column:
+    """How many bounds (id, hash), in ascending order, a row has reached, by halving. Null ids come before all others."""
     if not bounds:
         return F.lit(base)
     m = len(bounds) // 2
-    return F.when(x >= F.lit(bounds[m]), _tree(x, bounds[m + 1 :], base + m + 1)).otherwise(_tree(x, bounds[:m], base))
+    b, h = bounds[m]
+    reached = doc_id.isNotNull() | (k1 >= h) if b is None else F.coalesce((doc_id > F.lit(b)) | ((doc_id == F.lit(b)) & (k1 >= h)), F.lit(False))
+    return F.when(reached, _reached(doc_id, k1, bounds[m + 1 :], base + m + 1)).otherwise(_reached(doc_id, k1, bounds[:m], base))
 
 
 def compare_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, distinct_shingles)."""
+    kind = docs.schema[doc_id].dataType
+    id_type = to_arrow_type(kind)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,7 @@ def compare_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             new = [edited_text(texts[i], texts[i + 1]) for i in rows]
             es = sketches(new, k)
             yield pa.RecordBatch.from_arrays([
-                pa.array([ids[i] for i in rows], pa.int64()), pa.array([len(texts[i]) for i in rows], pa.int64()),
+                pa.array([ids[i] for i in rows], id_type), pa.array([len(texts[i]) for i in rows], pa.int64()),
                 pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in new], pa.string()),
                 pa.array([encode(own[i]) for i in rows], pa.string()), pa.array([encode(e) for e in es], pa.string()),
                 pa.array([resemblance(own[i], e, k) for i, e in zip(rows, es)], pa.float64()),
@@ -214,5 +215,5 @@ def compare_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             ], names=names)
             last = None if not ids or ghost[-1] else (ids[-1], bucket[-1], texts[-1], own[-1])
 
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double"
+    schema = f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double"
     return with_next(docs, doc_id=doc_id, text=text).select("doc_id", "text", "bucket", "ghost").mapInArrow(run, schema)
