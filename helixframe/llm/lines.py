@@ -7,8 +7,9 @@ bands of 4, two lines of Jaccard similarity 0.8 meet in a band with probability
 
 Lines that meet are joined by exact Jaccard similarity of their shingle sets. A band shared by many lines never yields
 all its pairs: each member is compared with REPS representatives of the band (the same permutations choose them in every
-band, so bands of the same lines share them), components are formed, and only members of one band that are still in
-different components are compared with each other. Within a component no further links are needed, so nothing is lost.
+band, so bands of the same lines share them) and components are formed. While bands still hold many pairs from different
+components, that is done again with new representatives, so that a large group of lines alike grows together in a few rounds;
+within a component no further links are needed. What pairs are left are compared one by one, so nothing is lost.
 
 Of each component (and of each group of equal lines) the first line stays: smallest doc_id, null ids last, then row key
 and line number; the others are removed. Lines of white space alone stay. A document that loses all its lines but blank
@@ -17,6 +18,8 @@ ones is dropped; null and empty texts stay as they are. Rows equal in id and tex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ BANDS = 12
 ROWS = 4
 THRESHOLD = 0.8
 REPS = 4
+#: Rounds of representatives go on while more than this many pairs a member are left, at most MAX_ROUNDS times.
+PAIRS = 2
+MAX_ROUNDS = 8
 GROUP = 8
 _SHORT = rf"^.{{1,{SHINGLE - 1}}}(?!.)"
 _PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|{_SHORT}))."
@@ -89,20 +95,35 @@ def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str
     own = lines.groupBy("key").agg(F.any_value("line").alias("line")).join(keys, "key", "left_semi")  # a common line moves once a task
     sets = store.put(own.select("key", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "sets")
 
-    reps = multi.groupBy("band").agg(*[F.min(F.col("key").bitwiseXOR(F.lit(permutation(-2 - i)))).alias(f"r{i}") for i in range(REPS)])
-    reps = reps.select("band", F.array_distinct(F.array(*[F.col(f"r{i}").bitwiseXOR(F.lit(permutation(-2 - i))) for i in range(REPS)])).alias("reps"))
-    tagged = store.put(multi.join(reps, "band"), "representatives")
-    pairs = tagged.select("key", F.explode("reps").alias("rep")).filter("key <> rep").select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()
-    found = store.put(verified(pairs, sets, threshold), "links")
-    classes = components(found, store)
-
-    named = tagged.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-    open_bands = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band")
-    left = store.put(named.join(open_bands, "band").filter(~F.array_contains("reps", F.col("key"))).select("band", "key", "c"), "open")
+    found, classes, reps, rounds = [], None, [], 0
+    while True:
+        named = multi.withColumn("c", F.col("key")) if classes is None else multi.join(classes.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+        sizes = named.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).filter("k > 1")
+        open_bands = store.put(sizes, "open")
+        tally = open_bands.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0.0))).first()
+        if rounds and (tally[1] <= PAIRS * tally[0] or rounds == MAX_ROUNDS):
+            break
+        named = store.put(named.join(open_bands.select("band"), "band"), "named")
+        chosen = [permutation(-2 - rounds * REPS - i) for i in range(REPS)]
+        least = named.groupBy("band").agg(*[F.min(F.col("key").bitwiseXOR(F.lit(x))).alias(f"r{i}") for i, x in enumerate(chosen)])
+        least = least.select("band", F.explode(F.array_distinct(F.array(*[F.col(f"r{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(chosen)]))).alias("rep"))
+        least = store.put(least.join(named.select("band", F.col("key").alias("rep"), F.col("c").alias("rc")), ["band", "rep"]), "representatives")
+        reps.append(least.select("band", F.col("rep").alias("key")))
+        pairs = named.join(least, "band").filter("c <> rc").select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()
+        new = store.put(verified(pairs, sets, threshold), "links")
+        rounds += 1
+        if new.isEmpty():  # no two of what is left are likely to be alike
+            classes = components(new, store) if classes is None else classes
+            break
+        found.append(new)
+        classes = components(reduce(DataFrame.unionByName, found), store)
+
+    left = named.join(open_bands.select("band"), "band").join(reduce(DataFrame.unionByName, reps), ["band", "key"], "left_anti")
+    left = store.put(left, "left")
     hashed = sets.join(left.select("key").distinct(), "key", "left_semi").select("key", "n", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
-    rest = close_pairs(left.join(hashed.select("key", "n", *bitmap(F.col("s"))), "key"), threshold)
-    last = store.put(verified(rest, sets, threshold), "links")
-    return classes if last.isEmpty() else components(last.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))), store)
+    maps = store.put(hashed.select("key", "n", *bitmap(F.col("s"))), "bitmaps")
+    last = store.put(verified(close_pairs(left.join(maps, "key"), threshold), sets, threshold), "links")
+    return classes if last.isEmpty() else components(reduce(DataFrame.unionByName, [*found, last]), store)
 
 
 def bitmap(s: Column) -> list[Column]:
