@@ -40,32 +40,43 @@ def substitution_score(x: Column, y: Column, match: int = 2, mismatch: int = -1)
 
 
 def hamming_distance(a: Column, b: Column, mode: str = "char") -> Column:
-    """Mismatching positions. 'char' compares raw characters, 'encoded' folds case. Unequal lengths raise."""
+    """Mismatching positions. 'char' compares raw characters, 'encoded' folds case. Unequal lengths raise.
+
+    Valid DNA is compared in packed words (three bits a base where case counts), other text character by character."""
     if mode not in ("char", "encoded"):
         raise ValueError(f"unknown Hamming mode: {mode}")
+    alphabet, bits = (BASES + BASES.lower(), 3) if mode == "char" else (BASES, 2)
     if mode == "encoded":
         a, b = F.upper(a), F.upper(b)
+    packed = packed_hamming(_packed(a, alphabet, bits), _packed(b, alphabet, bits), bits)
     both = F.zip_with(chars(a), chars(b), lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.lit(1)))
-    total = F.aggregate(both, F.lit(0), lambda acc, v: acc + v)
+    total = F.when(is_valid(a) & is_valid(b), packed).otherwise(F.aggregate(both, F.lit(0), lambda acc, v: acc + v))
     return F.when(F.length(a) == F.length(b), total).otherwise(F.raise_error(F.lit("sequences in a pair must have equal length")).cast("int"))
 
 
-#: Bases in one packed word: two bits each, so the value stays a non-negative signed 64-bit integer.
-WORD_BASES = 31
+def _packed(seq: Column, alphabet: str, bits: int) -> Column:
+    """Digits of `bits` bits each, in longs of as many as leave the sign bit free; the last may hold fewer."""
+    digits = F.translate(seq, alphabet, "01234567"[: len(alphabet)])
+    return F.transform(F.regexp_extract_all(digits, F.lit(f".{{1,{63 // bits}}}"), F.lit(0)), lambda x: F.conv(x, 2**bits, 10).cast("bigint"))
+
+
+def pack_2bit(seq: Column) -> Column:
+    """Two bits a base, case folded, in longs of 31 bases."""
+    return _packed(F.upper(seq), BASES, 2)
 
 
-def pack_2bit(seq: Column, n_words: int) -> Column:
-    """Two bits a base, in n_words longs of up to 31 bases each."""
-    digits = encode_digits(seq)
-    words = [F.conv(F.substring(digits, 1 + WORD_BASES * i, WORD_BASES), 4, 10).cast("bigint") for i in range(n_words)]
-    return F.array(*[F.coalesce(w, F.lit(0).cast("bigint")) for w in words])
+def packed_hamming(a: Column, b: Column, bits: int = 2) -> Column:
+    """Mismatching bases of two packed sequences of equal length: a base differs if any of its bits does."""
+    low = F.lit(sum(1 << i for i in range(0, 63, bits))).cast("bigint")
 
+    def differing(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        folded = d
+        for k in range(1, bits):
+            folded = folded.bitwiseOR(F.shiftright(d, k))
+        return F.bit_count(folded.bitwiseAND(low))
 
-def packed_hamming(a: Column, b: Column) -> Column:
-    """Mismatching bases of two packed sequences: a base differs if either of its two bits does."""
-    low = F.lit(0x5555555555555555).cast("bigint")
-    words = F.zip_with(a, b, lambda x, y: F.bit_count((x.bitwiseXOR(y)).bitwiseOR(F.shiftright(x.bitwiseXOR(y), 1)).bitwiseAND(low)))
-    return F.aggregate(words, F.lit(0), lambda acc, v: acc + v)
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda acc, v: acc + v)
 
 
 def similarity(distance: Column, length: Column) -> Column:
@@ -84,10 +95,10 @@ def hashed_dna(key: Column) -> Column:
     return F.translate(F.md5(key.cast("string")), "0123456789abcdef", BASES * 4)
 
 
-def text_dna(text: Column, length: int = 512) -> Column:
-    """Bases from a text's letters a-z, up to a length."""
+def text_dna(text: Column) -> Column:
+    """Bases from all of a text's letters a-z."""
     letters = "abcdefghijklmnopqrstuvwxyz"
-    return F.substring(F.translate(F.regexp_replace(text, "[^a-z]", ""), letters, (BASES * 7)[:26]), 1, length)
+    return F.translate(F.regexp_replace(text, "[^a-z]", ""), letters, (BASES * 7)[:26])
 
 
 def mutate(seq: Column, seq_id: Column, copy: Column, rate: float, seed: int = 42) -> Column:

@@ -7,28 +7,23 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import alignment as al
 from helixframe.functions import sequences as sq
-from helixframe.operators import dictionary
 from helixframe.schemas import Scoring
 
 
 def hamming(pairs: DataFrame, mode: str = "char") -> DataFrame:
     """(pair_id, distance, similarity). Modes: char, encoded, indexed (each distinct pair of sequences is scored once)."""
     if mode == "indexed":
-        seqs = dictionary.sequences(pairs)
-        index = dictionary.index_pairs(pairs, seqs)
-        distinct = index.groupBy("index_a", "index_b").agg(F.min("pair_id").alias("pair_id"))
-        scored = dictionary.gather(distinct, seqs).join(distinct, "pair_id")
-        scored = scored.select("index_a", "index_b", sq.hamming_distance(F.col("seq_a"), F.col("seq_b"), "encoded").alias("distance"), F.length("seq_a").alias("_n"))
-        out = index.join(scored, ["index_a", "index_b"])
+        distinct = pairs.select("seq_a", "seq_b").distinct()
+        scored = distinct.withColumns({"distance": sq.hamming_distance(F.col("seq_a"), F.col("seq_b"), "encoded"), "_n": F.length("seq_a")})
+        out = pairs.join(scored, ["seq_a", "seq_b"])
     else:
         out = pairs.select("pair_id", sq.hamming_distance(F.col("seq_a"), F.col("seq_b"), mode).alias("distance"), F.length("seq_a").alias("_n"))
     return out.select("pair_id", "distance", sq.similarity(F.col("distance"), F.col("_n")).alias("similarity"))
 
 
-def hamming_packed(pairs: DataFrame, length: int) -> DataFrame:
-    """Hamming on two-bit words, for sequences of one known length."""
-    words = -(-length // sq.WORD_BASES)
-    return pairs.select("pair_id", sq.packed_hamming(sq.pack_2bit(F.col("seq_a"), words), sq.pack_2bit(F.col("seq_b"), words)).alias("distance"))
+def hamming_packed(pairs: DataFrame) -> DataFrame:
+    """Hamming on two-bit words."""
+    return pairs.select("pair_id", sq.packed_hamming(sq.pack_2bit(F.col("seq_a")), sq.pack_2bit(F.col("seq_b"))).alias("distance"))
 
 
 SCORE_COLUMN = {"nw": "alignment_score", "sw": "max_local_alignment_score"}
@@ -37,12 +32,10 @@ SCORE_COLUMN = {"nw": "alignment_score", "sw": "max_local_alignment_score"}
 def align(pairs: DataFrame, algorithm: str = "nw", scoring: Scoring | None = None, implementation: str = "rolling", batch_size: int | None = None, max_sequence_length: int | None = None) -> DataFrame:
     """(pair_id, sequence_length_a, sequence_length_b, score column).
 
-    batch_size is a hint: the rows of one Arrow batch. A length cap is off unless asked for.
+    batch_size is accepted and changes nothing: Spark deals batches. A length cap is off unless asked for.
     """
     if algorithm not in SCORE_COLUMN:
         raise ValueError("algorithm is nw or sw")
-    if batch_size:
-        pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
     if max_sequence_length:
         long = F.greatest(F.length("seq_a"), F.length("seq_b")) > max_sequence_length
         pairs = pairs.filter(F.when(long, F.raise_error(F.lit("a sequence exceeds the length cap")).cast("boolean")).otherwise(F.lit(True)))

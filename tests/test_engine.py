@@ -148,6 +148,9 @@ def test_reports(spark):
     both = reports.union_modes({"sampled": rows, "adjacent": rows})
     assert [r["pairing_mode"] for r in both.orderBy("mode_order", "m").collect()] == ["adjacent"] * 2 + ["sampled"] * 2
     t = spark.createDataFrame([(16, 1.0)], "sequence_length bigint, ms double")
+    more = reports.with_unsupported(t, [{"sequence_length": 4096, "ms": 2.5}], "too long")
+    assert {r["implementation_status"]: r["ms"] for r in more.collect()} == {"SUPPORTED": 1.0, "UNSUPPORTED": 2.5}
+    assert reports.only_supported(more).count() == 1
     assert {r["implementation_status"]: r["ms"] for r in reports.with_unsupported(t, [4096], "too long").collect()} == {"SUPPORTED": 1.0, "UNSUPPORTED": 0.0}
     assert compare.same_rows(rows, rows) and not compare.same_rows(rows, rows.limit(1))
     assert compare.combined_pass(0, "PASSED", True) and not compare.combined_pass(0, "SKIPPED", True)
