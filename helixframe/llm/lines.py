@@ -32,7 +32,7 @@ BANDS = 12
 ROWS = 4
 THRESHOLD = 0.8
 REPS = 4
-#: Rounds of representatives go on while more than this many pairs a member are left, at most MAX_ROUNDS times.
+#: Rounds of representatives go on while more than this many pairs a member are left and each takes a quarter of them, at most MAX_ROUNDS times.
 PAIRS = 2
 MAX_ROUNDS = 8
 GROUP = 8
@@ -101,8 +101,9 @@ def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str
         sizes = named.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).filter("k > 1")
         open_bands = store.put(sizes, "open")
         tally = open_bands.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0.0))).first()
-        if rounds and (tally[1] <= PAIRS * tally[0] or rounds == MAX_ROUNDS):
+        if rounds and (tally[1] <= PAIRS * tally[0] or tally[1] > 0.75 * before or rounds == MAX_ROUNDS):
             break
+        before = tally[1]
         named = store.put(named.join(open_bands.select("band"), "band"), "named")
         chosen = [permutation(-2 - rounds * REPS - i) for i in range(REPS)]
         least = named.groupBy("band").agg(*[F.min(F.col("key").bitwiseXOR(F.lit(x))).alias(f"r{i}") for i, x in enumerate(chosen)])

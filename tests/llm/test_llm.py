@@ -200,10 +200,42 @@ def test_language_accuracy_and_edges(spark, sf, edge, empty):
 
 
 def test_grams_do_not_cross_texts():
-    a, off, letters = langid.grams(["ab  cd!", "", "Ä"])
-    for t, i in (("ab  cd!", 0), ("", 1), ("Ä", 2)):
-        alone, o, n = langid.grams([t])
-        assert sorted(a[off[i] : off[i + 1]]) == sorted(alone) and n[0] == letters[i]
+    texts = ["ab  cd!", "", "Ä", None]
+    of = lambda g, i: sorted(int(n) for number, doc in g.orders(langid.DIMS) for n in number[doc == i])
+    both = langid.Grams(texts)
+    for i, t in enumerate(texts):
+        alone = langid.Grams([t])
+        assert of(both, i) == of(alone, 0) and both.letters[i] == alone.letters[0] == sum(map(str.isalpha, t or ""))
+
+
+def test_language_model_equals_counts(spark, monkeypatch):
+    """Naive Bayes by hand: n-grams as text, one counter each, on a model wide enough for no collisions."""
+    rows = [(i, "aab ab" if i % 2 else "xyx  yy!", "aa" if i % 2 else "xx") for i in range(10)] + [(20, "aab ab", None), (21, None, "aa")]
+    langs, log_p = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), dims=1 << 18)
+
+    def grams(t):
+        sym, out = [], []
+        for c in t.lower():
+            if c.isalpha() or not sym or sym[-1] != " ":
+                sym.append(c if c.isalpha() else " ")
+        if sym[-1] != " ":
+            sym.append(" ")  # what ends a text
+        for k in range(1, 5):
+            out += [tuple(sym[i : i + k]) for i in range(len(sym) - k + 1)]
+        return out
+
+    count = {k: {} for k in ("aa", "xx")}
+    for _, t, k in rows[:10]:
+        for g in grams(t):
+            count[k][g] = count[k].get(g, 0) + 1
+    assert langs == ["aa", "xx"]
+    for k, row in zip(langs, log_p):
+        n = sum(count[k].values())
+        want = sorted(np.log((c + 0.5) / (n + 0.5 * (1 << 18))) for c in count[k].values())
+        assert np.allclose(sorted(row[row > row.min()]), want, atol=1e-4)
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
 
 
 # Lines ----------------------------------------------------------------------------------------------------------------
@@ -322,11 +354,21 @@ def test_sketch_estimates_and_merge(spark):
     assert len(sketch.sketches(["one two"])[0]) == 1
 
 
+def spark_rows(like, rows, schema):
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
 def test_sketch_edges(edge, empty):
     got = sketch.compare_edited(edge)
     assert got.count() == edge.count()
     assert got.filter("n_chars = 0").count() == 3
     assert sketch.compare_edited(empty).count() == 0
+    far = spark_rows(edge, [(-(2**63), "a b c"), (5, "d"), (None, "x"), (None, "y"), (None, "y"), (2**63 - 1, None)], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in sketch.compare_edited(far).collect()] == [2**63 - 1, 5, -(2**63), None, None, None]
+    assert [r["doc_id"] for r in sketch.compare_edited(spark_rows(edge, [("k1", "a"), (None, "c"), ("k2", "b")], "doc_id string, text string")).collect()] == ["k2", "k1", None]
+    none = edge.sparkSession.range(3000).selectExpr("cast(null as bigint) doc_id", "cast(id as string) text")
+    sizes = [r["count"] for r in sketch.with_next(none).groupBy("bucket").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 1500
     assert sketch.compare_edited(edge.limit(1)).count() == 1
 
 
@@ -338,21 +380,60 @@ def test_rake_meets_marginals():
     codes = [c.ravel() for c in np.meshgrid(range(4), range(3), range(5), indexing="ij")]
     t = rng.integers(1, 1000, 60).astype(float)
     targets = [v / v.sum() for v in (rng.random(4) + 0.1, rng.random(3) + 0.1, rng.random(5) + 0.1)]
-    w = mixing.rake(t, codes, targets, 200)
+    w, residual = mixing.rake(t, codes, targets)
+    assert residual < 1e-9
     for c, v in zip(codes, targets):
         assert np.allclose(np.bincount(c, w), v, atol=1e-7)
-    c = mixing.scale(t, w, 0.3 * t.sum())
-    assert abs((t * np.minimum(1, c * w / t)).sum() / t.sum() - 0.3) < 1e-9
-
-
-def test_mixing_paths_agree_and_hit_the_budget(spark, sf, edge, empty):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kw = {"targets": {"lang": {"en": 1.0, "de": 1.0, "fr": 1.0, "zz": 5.0}}, "sweeps": 6}
-    a = {r["doc_id"]: r for r in mixing.mix(docs, **kw).select("row.doc_id", "probability", "n_tokens", "lang").collect()}
-    b = {r["doc_id"]: r for r in mixing.mix(docs, max_cells=0, **kw).select("row.doc_id", "probability").collect()}
-    assert len(a) == len(b) == docs.count()
-    assert max(abs(a[k]["probability"] - b[k]["probability"]) for k in a) < 1e-6
-    assert all(r["probability"] == 0 for r in a.values() if r["lang"] == "es" and r["n_tokens"])
+    for budget in (0.01, 0.3, 0.9):
+        c = mixing.scale(t, w, budget * t.sum())
+        assert abs((np.minimum(t, c * w)).sum() / t.sum() - budget) < 1e-9
+    # Marginals that conflict on empty cells.
+    w, residual = mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.9, 0.1]), np.array([0.2, 0.8])])
+    assert residual > 0.1
+
+
+def brute_mix(rows, targets, budget):
+    """Cell weights and probabilities in plain dictionaries: 3,000 sweeps, c by bisection."""
+    cells = {}
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] = cells.get((r["source"], r["lang"], r["topic"]), 0) + r["n_tokens"]
+    w = {k: float(v) for k, v in cells.items()}
+    for _ in range(3000):
+        for d, name in enumerate(("source", "lang", "topic")):
+            sums, have = {}, {}
+            for k in w:
+                sums[k[d]] = sums.get(k[d], 0) + cells[k]
+                have[k[d]] = have.get(k[d], 0) + w[k]
+            given = {v: (1.0 if targets[name] == "equal" else targets[name].get(v, 0.0)) if n else 0.0 for v, n in sums.items()}
+            total = sum(given.values())
+            w = {k: x * given[k[d]] / total / have[k[d]] if have[k[d]] else 0.0 for k, x in w.items()}
+    lo, hi, goal = 0.0, 1e12, budget * sum(cells.values())
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(min(t, c * w[k]) for k, t in cells.items()) < goal else (lo, c)
+    return {k: (w[k], min(1.0, lo * w[k] / t) if t and w[k] else 0.0 if t else budget) for k, t in cells.items()}
+
+
+def test_mixing_query_equals_brute_force(spark, sf):
+    got = registry.op2_source_mixing(spark, sf).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in got} == set(docs) and all(r["n_tokens"] == len((docs[r["doc_id"]]["text"] or "").split()) for r in got)
+    assert all(r["source"] == docs[r["doc_id"]]["source"] and r["lang"] == docs[r["doc_id"]]["lang"] for r in got)
+    want = brute_mix(got, registry.MIX_TARGETS, mixing.BUDGET)
+    loose = 1e-6 + 20 * got[0]["residual"]  # where the marginals conflict, sweeps end at different places
+    for r in got:
+        weight, p = want[r["source"], r["lang"], r["topic"]]
+        assert abs(r["weight"] - weight) < loose and (r["probability"] == 0) == (p == 0)
+    assert abs(sum(r["probability"] * r["n_tokens"] for r in got) / sum(r["n_tokens"] for r in got) - mixing.BUDGET) < 1e-6
+
+
+def test_mixing_paths_agree(spark, edge, empty):
+    rows = [(i, "a b c d " * (1 + i % 7), ["en", "de"][i % 2], f"s{i % 3}", None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kw = {"targets": {"lang": {"en": 1.0, "de": 3.0, "zz": 5.0}, "source": "equal"}}
+    a = {r["doc_id"]: r["probability"] for r in mixing.mix(docs, **kw).select("row.doc_id", "probability").collect()}
+    b = {r["doc_id"]: r["probability"] for r in mixing.mix(docs, max_cells=0, **kw).select("row.doc_id", "probability").collect()}
+    assert len(a) == len(b) == 60 and max(abs(a[k] - b[k]) for k in a) < 1e-9
     out = mixing.sample(edge)
     assert out.columns == edge.columns and mixing.mix(edge).count() == edge.count()
     assert mixing.mix(empty).count() == 0
@@ -397,14 +478,25 @@ def test_chat_query(spark, sf):
         assert got[k]["formatted_chars"] == sum(len(chat.format_turn(*t)[0]) for t in turns)
 
 
+def test_chat_query_equals_sql(spark, sf):
+    assert compare(registry.op3_chat_format(spark, sf), registry.LLM_SQL["op3_chat_format"], sf) == ""
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", None), (1, None, None, "x"), (None, 1, "assistant", "y"), (1, 0, "user", None), (2, 0, "assistant", "z" * 200_000)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(chat.to_turns(chat.row_records(df)))).collect()}
-    assert got[1]["n_turns"] == 3 and got[None]["loss_chars"] == 1 and got[2]["loss_chars"] == 200_000
-    odd = spark.createDataFrame([(1, 0, json.dumps({"foo": 1}))], "conv_id bigint, turn bigint, record string")
-    assert chat.to_turns(odd).filter("not mapped").count() == 1
-    assert chat.digests(chat.format_conversations(chat.to_turns(chat.row_records(df.limit(0))))).count() == 0
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("segment", F.lit("clash"))
+    records = df.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    for turns in (chat.table_turns(df), chat.to_turns(records)):
+        got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(turns)).collect()}
+        assert got[1]["n_turns"] == 3 and got[None]["loss_chars"] == 1 and got[2]["loss_chars"] == 200_000
+    bad = [(1, 0, None), (2, 0, "{bad"), (3, 0, json.dumps({"foo": 1})), (4, 0, json.dumps({"messages": []})), (5, 0, json.dumps({"prompt": "q", "completion": "a"})), (5, 1, None), (None, 0, "[1]")]
+    odd = spark.createDataFrame(bad, "conv_id bigint, turn bigint, record string")
+    got = {r["conv_id"]: (r["n_turns"], r["formatted_chars"] > 0) for r in chat.digests(chat.format_conversations(chat.to_turns(odd))).collect()}
+    assert got == {1: (0, False), 2: (0, False), 3: (0, False), 4: (0, False), 5: (2, True), None: (0, False)}
+    typed = spark.createDataFrame([("a", 0, [("human", "q"), ("gpt", "r")]), ("b", 0, []), ("c", 0, None)], "conv_id string, turn int, conversations array<struct<from:string,value:string>>")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.format_conversations(chat.table_turns(typed))).collect()}
+    assert got == {"a": (2, 1), "b": (0, 0), "c": (0, 0)}
+    assert chat.digests(chat.format_conversations(chat.table_turns(df.limit(0)))).count() == 0
 
 
 # Toxicity and quality -------------------------------------------------------------------------------------------------
@@ -427,16 +519,46 @@ def test_features_do_not_depend_on_the_batch():
     assert np.allclose(features.dense(texts), np.concatenate([features.dense([t]) for t in texts]))
 
 
+def test_isotonic_pools_ties():
+    m = learn.Isotonic().fit(np.zeros(4), np.array([0, 0, 1, 0.0]))
+    assert m(np.array([0.0]))[0] == 0.25
+
+
+def test_trees_follow_a_brute_force_split():
+    """One tree of depth 1: the cut is the one that a search over all cuts of all features finds."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 6, (200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
+    y[x[:, 1] > 2] = 1
+    m = learn.BoostedTrees(rounds=1, depth=1).fit(x, y)
+    p = 1 / (1 + np.exp(-m.start))
+    g, h = p - y, np.full(200, p * (1 - p))
+    part = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1.0)
+    best = max(((part(x[:, j] <= c) + part(x[:, j] > c), j, c) for j in range(3) for c in range(5)), key=lambda b: b[0])
+    low, high = m.margin(x)[x[:, best[1]] <= best[2]], m.margin(x)[x[:, best[1]] > best[2]]
+    assert len(set(low.tolist())) == 1 == len(set(high.tolist())) and low[0] < high[0]
+
+
 def test_toxicity_held_out(spark, edge, empty):
     d = "/root/testdata/sf0.1"
     got = registry.op4_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert learn.auc(got["score"].to_numpy(), got["toxic"].to_numpy()) > 0.97
     assert (got["predicted"] == got["toxic"]).mean() > 0.97
-    none = toxicity.train(edge.withColumn("toxic", F.lit(0)))
+    ids = edge.select("doc_id")
+    none = toxicity.train(edge, ids.withColumn("toxic", F.lit(0)))
     assert {r["score"] for r in toxicity.score(edge, none).collect()} == {0.0}
-    known = edge.withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0))
-    assert toxicity.score(edge, toxicity.train(known)).filter("score between 0 and 1").count() == edge.count()
-    assert toxicity.score(empty, toxicity.train(empty.withColumn("toxic", F.lit(1)))).count() == 0
+    known = ids.withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0))
+    assert toxicity.score(edge, toxicity.train(edge, known)).filter("score between 0 and 1").count() == edge.count()
+    assert toxicity.score(empty, toxicity.train(empty, empty.select("doc_id", F.lit(1).alias("toxic")))).count() == 0
+
+
+def test_toxicity_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, "you are vile scum rotten" if i < 100 else f"nice day number {i}") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(400)], "doc_id bigint, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels, max_train=100)).select("row.doc_id", "score", "predicted").collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["doc_id"] < 100) for r in got)
+    same = docs.withColumn("text", F.lit("one text"))
+    got = toxicity.score(same, toxicity.train(same, labels)).collect()
+    assert all(abs(r["score"] - 0.25) < 1e-6 for r in got)
 
 
 def test_quality(spark, edge, empty):
@@ -444,11 +566,11 @@ def test_quality(spark, edge, empty):
     got = registry.op1_quality(spark, d)
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert got.count() == docs.count()
-    x = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    x = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert learn.auc(x["score"].to_numpy(), x["quality"].to_numpy()) > 0.97
     labels = edge.filter("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
-    assert quality.score(edge, quality.train(edge, labels)).filter("score between 0 and 1").count() == edge.count()
-    assert quality.score(empty, quality.train(empty, labels.limit(0))).count() == 0
+    assert quality.classify(edge, labels).filter("score between 0 and 1").count() == edge.count()
+    assert quality.classify(empty, labels.limit(0)).count() == 0
 
 
 # Sentences ------------------------------------------------------------------------------------------------------------
@@ -496,7 +618,7 @@ def test_no_sentence_of_a_repeated_run_stays(spark):
 # Pipeline -------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, sf, edge):
+def test_pipeline_stages(spark, sf):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -509,5 +631,15 @@ def test_pipeline_stages(spark, sf, edge):
         counts.append(at.count())
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] >= counts[4] > counts[5] > 0
     assert sorted(r["doc_id"] for r in cp.run(spark, sf).collect()) == sorted(r["doc_id"] for r in at.collect())
-    for _, stage in cp.STAGES:
-        assert stage(spark, edge, sf).columns == edge.columns
+
+
+def test_pipeline_stages_on_edges(spark, sf, edge, empty):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        out, none = stage(spark, edge, sf), stage(spark, empty, sf)
+        assert out.columns == edge.columns == none.columns and none.count() == 0
+        ids = [r["doc_id"] for r in out.collect()]
+        assert set(ids) <= {None, *range(12), *range(20, 27)}
+        if name in ("line_dedup", "near_duplicates", "decontamination"):
+            assert set(range(12)) <= set(ids)  # clean documents stay
