@@ -36,6 +36,8 @@ REPS = 4
 PAIRS = 2
 MAX_ROUNDS = 8
 GROUP = 8
+#: Longs of a bitmap. Shingle sets of some hundred elements leave most of its 1024 bits unflipped, so it tells apart pairs just below the threshold.
+WORDS = 16
 _SHORT = rf"^.{{1,{SHINGLE - 1}}}(?!.)"
 _PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|{_SHORT}))."
 #: GROUP shingles in a row as one piece of text.
@@ -76,13 +78,34 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
     return minima.select("key", "n", F.array(*bands).alias("bands"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have at least that Jaccard similarity. Lines move, not their sets, which are eight times as large."""
-    a = sets.select(F.col("key").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
-    b = sets.select(F.col("key").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"))
-    both = F.size(F.array_intersect(shingles(F.col("la")), shingles(F.col("lb"))))  # named once below: a filter computes a repeated expression anew
-    sized = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    return sized.filter(both >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+def far(x: str, y: str) -> Column:
+    """Least number of shingles by which the sets of two bitmaps (columns of x and y) differ."""
+    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(WORDS)), F.lit(0))
+
+
+def verified(pairs: DataFrame, lines: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have at least that Jaccard similarity. Bitmaps rule out most others before a line moves."""
+    a = maps.select(F.col("key").alias("a"), F.col("n").alias("na"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(WORDS)])
+    b = maps.select(F.col("key").alias("b"), F.col("n").alias("nb"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(WORDS)])
+    near = far("x", "y") <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
+    near = pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", "na", "nb")
+    return resembling(near, lines, threshold)
+
+
+def resembling(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, na, nb) whose shingle sets, of sizes na and nb, have at least that Jaccard similarity, exactly."""
+    both = F.size(F.array_intersect(shingles(F.col("la")), shingles(F.col("lb"))))
+    a = lines.select(F.col("key").alias("a"), F.col("line").alias("la"))
+    b = lines.select(F.col("key").alias("b"), F.col("line").alias("lb"))
+    return pairs.join(a, "a").join(b, "b").filter(both >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+
+
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """(key, n, b0, b1, ...): the number of different shingles of each line, and their set as WORDS longs: each shingle flips one bit."""
+    one = lines.select("key", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    bit = one.select("key", F.pmod("h", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("w") == i, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"b{i}") for i in range(WORDS)]
+    return bit.groupBy("key").agg(F.count("*").alias("n"), *words)
 
 
 def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -92,8 +115,8 @@ def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str
     multi = store.put(band.join(shared.hint("shuffle_hash"), "band"), "bands")  # the few shared bands are hashed, all others not sorted
     keys = multi.select("key").distinct()
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.xxhash64("line").alias("key"), "line")
-    own = lines.groupBy("key").agg(F.any_value("line").alias("line")).join(keys, "key", "left_semi")  # a common line moves once a task
-    sets = store.put(own.select("key", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "sets")
+    own = store.put(lines.groupBy("key").agg(F.any_value("line").alias("line")).join(keys, "key", "left_semi"), "lines")  # a common line moves once a task
+    maps = store.put(bitmaps(own), "bitmaps")
 
     found, classes, reps, rounds = [], None, [], 0
     while True:
@@ -111,7 +134,7 @@ def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str
         least = store.put(least.join(named.select("band", F.col("key").alias("rep"), F.col("c").alias("rc")), ["band", "rep"]), "representatives")
         reps.append(least.select("band", F.col("rep").alias("key")))
         pairs = named.join(least, "band").filter("c <> rc").select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b")).distinct()
-        new = store.put(verified(pairs, sets, threshold), "links")
+        new = store.put(verified(pairs, own, maps, threshold), "links")
         rounds += 1
         if new.isEmpty():  # no two of what is left are likely to be alike
             classes = components(new, store) if classes is None else classes
@@ -121,34 +144,23 @@ def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str
 
     left = named.join(open_bands.select("band"), "band").join(reduce(DataFrame.unionByName, reps), ["band", "key"], "left_anti")
     left = store.put(left, "left")
-    hashed = sets.join(left.select("key").distinct(), "key", "left_semi").select("key", "n", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
-    maps = store.put(hashed.select("key", "n", *bitmap(F.col("s"))), "bitmaps")
-    last = store.put(verified(close_pairs(left.join(maps, "key"), threshold), sets, threshold), "links")
+    members = left.join(signed.select("key", "bands"), "key").join(maps, "key")
+    last = store.put(resembling(close_pairs(members, threshold), own, threshold), "links")
     return classes if last.isEmpty() else components(reduce(DataFrame.unionByName, [*found, last]), store)
 
 
-def bitmap(s: Column) -> list[Column]:
-    """A set as four longs: each element flips one of 256 bits."""
-    one = F.lit(1).cast("bigint")
-
-    def word(w: int) -> Column:
-        mine = F.filter(s, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == w)
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
-
-    return [word(w).alias(f"b{w}") for w in range(4)]
-
-
 def close_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): members (band, key, c, n, b0..b3) of one band in different components that may reach the threshold.
+    """(a, b, na, nb): members (band, key, c, bands, n, b0, b1, ...) of one band in different components that may reach the threshold.
 
     Two sets differ in at least as many elements as their bitmaps do in bits, so a pair whose bitmaps are too far apart
-    for its sizes is ruled out inside the join, exactly, and never becomes a row.
+    for its sizes is ruled out inside the join, exactly, and never becomes a row. A pair that shares several bands is
+    taken in the first of them alone.
     """
     x, y = members.alias("x"), members.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(4)), F.lit(0))
-    near = apart <= (1 - threshold) / (1 + threshold) * (F.col("x.n") + F.col("y.n")) + 1e-9
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & near
-    return x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    near = far("x.b", "y.b") <= (1 - threshold) / (1 + threshold) * (F.col("x.n") + F.col("y.n")) + 1e-9
+    first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.band")
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & near & first
+    return x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
 def removals(docs: DataFrame, store: Store, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -303,17 +303,24 @@ def test_lines_are_native_and_survive_edges(spark, edge, empty):
     assert lines.dedup_documents(empty).count() == 0
 
 
-def test_bitmap_never_rules_out_a_pair(spark):
+def test_bitmaps_never_rule_out_a_pair(spark):
     r = random.Random(8)
-    sets = [[r.getrandbits(63) for _ in range(r.randrange(1, 80))] for _ in range(20)]
-    sets += [s[: max(1, int(len(s) * 0.9))] for s in sets]
-    df = spark.createDataFrame([(0, i, i, s) for i, s in enumerate(sets)], "band bigint, key bigint, c bigint, s array<bigint>")
-    got = {(x["a"], x["b"]) for x in lines.close_pairs(df.select("band", "key", "c", F.size("s").alias("n"), *lines.bitmap(F.col("s"))), 0.8).collect()}
-    for i in range(len(sets)):
-        for j in range(i):
-            a, b = set(sets[i]), set(sets[j])
-            if len(a & b) >= 0.8 * len(a | b):
-                assert (j, i) in got
+    texts = [sentence(r, r.choice([1, 2, 10, 60, 200])) for _ in range(25)]
+    texts += [t[: max(1, int(len(t) * cut))] for t in texts for cut in (0.9, 0.82, 0.78)]
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "key bigint, line string")
+    maps = lines.bitmaps(rows)
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    assert {x["key"]: x["n"] for x in maps.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    members = rows.join(maps, "key").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), F.array(F.lit(1), F.lit(2)).alias("bands"), F.col("key").alias("c"), *maps.columns)
+    near = lines.close_pairs(members, 0.8)
+    found = [(x["a"], x["b"]) for x in near.collect()]
+    assert len(found) == len(set(found))  # of two shared bands, one gives the pair
+    want = {(j, i) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)}
+    assert want and want <= set(found)
+    assert {(x["a"], x["b"]) for x in lines.resembling(near, rows, 0.8).collect()} == want
+    every = spark.createDataFrame([(j, i) for i in range(len(sets)) for j in range(i)], "a bigint, b bigint")
+    assert {(x["a"], x["b"]) for x in lines.verified(every, rows, maps, 0.8).collect()} == want
 
 
 # Sketches -------------------------------------------------------------------------------------------------------------
