@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontaminate, langid, lines, mixing, quality, sentences, simhash, sketch, toxicity
+from helixframe.llm import chat, clustering, decontaminate, importance, langid, lines, mixing, permutation, quality, sentences, simhash, sketch, toxicity
 
 LLM_QUERIES = {}
 LLM_SQL: dict[str, str] = {}
@@ -107,3 +107,24 @@ def op9_line_dedup(spark, d):
 @query
 def op10_sketch(spark, d):
     return sketch.compare_edited(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_lloyd(spark, d):
+    return clustering.lloyd(table(spark, d, "embeddings"))
+
+
+LLM_SQL["op11_lloyd"] = clustering.sql()
+
+
+@query
+def op12_importance(spark, d):
+    return importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+LLM_SQL["op12_importance"] = importance.sql()
+
+
+@query
+def op13_permutation_index(spark, d):
+    return permutation.neighbours(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 20)
