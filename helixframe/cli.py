@@ -86,11 +86,13 @@ def _score(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _fragment(spark: SparkSession, a: argparse.Namespace) -> int:
-    genome = readers.read_fasta(spark, a.input).select(F.col("header").alias("genome"), "sequence")
-    if genome.agg(F.max(F.length("sequence"))).first()[0] < a.window_size:
+    genome = readers.read_fasta_chunks(spark, a.input)
+    if genome.agg(F.max(F.col("offset") + F.length("sequence"))).first()[0] < a.window_size:
         raise ValueError("the genome is shorter than the window")
-    rows = fr.fragment(genome, a.window_size, a.stride, skip_ambiguous=a.skip_ambiguous).cache()
+    rows = fr.fragment_chunks(genome, a.window_size, a.stride, skip_ambiguous=a.skip_ambiguous).cache()
     n = rows.count()
+    if not n:
+        raise ValueError("no fragments: check window, stride and ambiguous bases")
     made = pairing.build(a.pairing_mode, rows, n, pairs_per_fragment=a.pairs_per_fragment, max_pairs=a.max_pairs, mutation_rate=a.mutation_rate, seed=a.seed)
     sinks.write_pairs_text(made.pairs, a.output)
     if a.fragments_output:

@@ -78,8 +78,8 @@ def align_batch(a: list[str], b: list[str], local: bool, scoring: Scoring = Scor
     return score
 
 
-def align_series(a: pd.Series, b: pd.Series, local: bool, scoring: Scoring) -> pd.Series:
-    """Scores with nulls kept; pairs go in order of length so that a slab holds pairs of like size."""
+def align_series(a: pd.Series, b: pd.Series, local: bool, scoring, batch=align_batch) -> pd.Series:
+    """Scores with nulls kept; pairs go in order of length so that a slab holds pairs of like size. `batch` scores a slab."""
     ok = (a.notna() & b.notna()).to_numpy()
     out = np.zeros(len(a), np.int64)
     rows = np.flatnonzero(ok)
@@ -92,7 +92,7 @@ def align_series(a: pd.Series, b: pd.Series, local: bool, scoring: Scoring) -> p
         while j < len(order) and (j - i + 1) * (len(b.iloc[order[j]]) + 1) <= KERNEL_CELLS and len(b.iloc[order[j]]) + 1 <= 2 * width + 16:
             j += 1
         take = order[i:j]
-        out[take] = align_batch([a.iloc[k] for k in take], [b.iloc[k] for k in take], local, scoring)
+        out[take] = batch([a.iloc[k] for k in take], [b.iloc[k] for k in take], local, scoring)
         i = j
     return pd.Series(out).where(pd.Series(ok), None).astype("Int64")
 
@@ -106,25 +106,27 @@ def _udf(local: bool, scoring: Scoring):
 
 
 def _sql_form(a: Column, b: Column, local: bool, s: Scoring) -> Column:
-    gap = F.lit(s.gap)
+    """By anti-diagonals: a cell needs only the two before, so that a diagonal is one transform. Place i of diagonal k is cell (i, k - i)."""
+    low, n, m = F.lit(-(1 << 30)), F.length(a), F.length(b)
     xs, ys = chars(a), chars(b)
-    first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda j: F.lit(0) if local else j * gap)
-    zero = F.struct(first.alias("row"), F.lit(0).alias("best"), F.lit(0).alias("i"))
-
-    def next_row(state: Column, x: Column) -> Column:
-        prev = state["row"]
-        start = F.array(F.lit(0) if local else (state["i"] + 1) * gap)
-
-        def cell(cur: Column, y: Column) -> Column:
-            j = F.size(cur)
-            moves = [F.element_at(prev, j) + F.when(x == y, F.lit(s.match)).otherwise(F.lit(s.mismatch)), F.element_at(prev, j + 1) + gap, F.element_at(cur, -1) + gap]
-            return F.concat(cur, F.array(F.greatest(*moves, *([F.lit(0)] if local else []))))
-
-        row = F.aggregate(ys, start, cell)
-        best = F.greatest(state["best"], F.array_max(row)) if local else F.lit(0)
-        return F.struct(row.alias("row"), best.alias("best"), (state["i"] + 1).alias("i"))
-
-    return F.aggregate(xs, zero, next_row, lambda st: st["best"] if local else F.element_at(st["row"], -1)).cast("bigint")
+    rows = F.sequence(F.lit(0), n)
+    blank = F.transform(rows, lambda i: low)
+    zero = F.struct(blank.alias("before"), F.transform(rows, lambda i: F.when(i == 0, 0).otherwise(low)).alias("last"), F.lit(0).alias("best"))
+
+    def diagonal(state: Column, k: Column) -> Column:
+        def cell(i: Column) -> Column:
+            j = k - i
+            hit = F.when(F.element_at(xs, i) == F.element_at(ys, j), F.lit(s.match)).otherwise(F.lit(s.mismatch))
+            moves = [F.element_at(state["before"], i) + hit, F.element_at(state["last"], i) + s.gap, F.element_at(state["last"], i + 1) + s.gap]
+            inner = F.greatest(*moves, *([F.lit(0)] if local else []))
+            return F.when((j < 0) | (j > m), low).when((i == 0) | (j == 0), F.lit(0) if local else k * s.gap).otherwise(inner)
+
+        made = F.transform(rows, cell)
+        return F.struct(state["last"].alias("before"), made.alias("last"), F.greatest(state["best"], F.array_max(made)).alias("best"))
+
+    steps = F.when(n + m > 0, F.sequence(F.lit(1), n + m)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(steps, zero, diagonal, lambda st: st["best"] if local else F.element_at(st["last"], -1)).cast("bigint")
+    return F.when(a.isNotNull() & b.isNotNull(), total)
 
 
 def _score(a: Column, b: Column, local: bool, scoring: Scoring | None, implementation: str) -> Column:

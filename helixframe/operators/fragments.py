@@ -1,30 +1,92 @@
-"""Sliding-window fragments of genomes."""
+"""Sliding-window fragments of genomes, whole or in chunks.
+
+Work is by cells of a fixed length of genome. A cell's text reaches window - 1 bases into the next one (its halo), so that
+each cell cuts the windows that begin in it by itself, in time linear in its length. Of chunked genomes a row sends its
+bases to the cells that need them, halos included, and no task holds more of a genome than a cell. A name identifies one genome.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.ordering import prefix_sums
+
+#: Bases of a cell, at least (a cell is never shorter than a window), and cells numbered together.
+CELL, CELLS_TOGETHER = 1 << 16, 1024
 
-def fragment(genomes: DataFrame, window: int = 128, stride: int = 32, *, genome: str = "genome", sequence: str = "sequence", skip_ambiguous: bool = False) -> DataFrame:
-    """(genome, fragment_id, start, end, sequence); `end` is exclusive and a partial tail is dropped.
+
+def fragment(genomes: DataFrame, window: int = 128, stride: int = 32, *, genome: str = "genome", sequence: str = "sequence", skip_ambiguous: bool = False, cell: int = CELL) -> DataFrame:
+    """(genome, fragment_id, start, end, sequence) of genomes of one row each; `end` is exclusive and a partial tail is dropped.
 
     With skip_ambiguous a window with any character outside ACGT is dropped and ids stay dense over the survivors; without
     it such a genome raises. Genomes shorter than the window give no rows here; the CLI rejects them.
     """
-    if window <= 0 or stride <= 0:
-        raise ValueError("window and stride must be positive")
+    size = _size(window, stride, cell)
+    seq = F.upper(F.col(sequence))
+    plain = F.when(seq.rlike("[^ACGT]"), F.regexp_replace(seq, "[^ACGT]", "N")).otherwise(seq)  # one byte a character
+    rows = genomes.select(F.col(genome).alias("genome"), plain.cast("binary").alias("bytes")).filter(F.length("bytes") >= window)
+    count = F.expr(f"cast((length(bytes) - 1) div {size} as int)")
+    texts = F.transform(F.sequence(F.lit(0), count), lambda g: F.substring(F.col("bytes"), g * size + 1, F.lit(size + window - 1)))
+    cells = rows.select("genome", F.posexplode(texts).alias("cell", "bytes")).withColumn("cell", F.col("cell").cast("bigint"))
+    return _windows(cells, window, stride, size, skip_ambiguous)
+
+
+def fragment_chunks(chunks: DataFrame, window: int = 128, stride: int = 32, *, skip_ambiguous: bool = False, cell: int = CELL) -> DataFrame:
+    """As fragment, of genomes in chunks (genome, offset, sequence) of any lengths that leave no gap. Rows may come in any order."""
+    size = _size(window, stride, cell)
+    seq = F.upper(F.col("sequence"))
+    plain = F.when(seq.rlike("[^ACGT]"), F.regexp_replace(seq, "[^ACGT]", "N")).otherwise(seq)
+    rows = chunks.select("genome", F.col("offset").cast("bigint").alias("offset"), plain.cast("binary").alias("bytes")).filter(F.length("bytes") > 0)
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("offset") - (window - 1)) / size))
+    last = F.floor((F.col("offset") + F.length("bytes") - 1) / size)
+
+    def part(g: Column) -> Column:
+        low = F.greatest(F.col("offset"), g * size)
+        high = F.least(F.col("offset") + F.length("bytes"), (g + 1) * size + window - 1)
+        piece = F.substring(F.col("bytes"), (low - F.col("offset") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(g.alias("cell"), low.alias("low"), piece.alias("piece"))
+
+    sent = rows.select("genome", F.inline(F.transform(F.sequence(first, last), part)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", F.col("piece").cast("string").alias("t")))), lambda x: x["t"]), "")
+    cells = sent.groupBy("genome", "cell").agg(joined.cast("binary").alias("bytes"))  # a cell and its halo
+    return _windows(cells, window, stride, size, skip_ambiguous)
+
+
+def chunked(genomes: DataFrame, bases: int = CELL, *, genome: str = "genome", sequence: str = "sequence") -> DataFrame:
+    """(genome, offset, sequence): genomes of one row each in chunks, characters outside ACGT as N. An empty genome has no chunk."""
     seq = F.upper(F.col(sequence))
-    clean = ~seq.rlike("[^ACGT]")
-    rows = genomes.select(F.col(genome).alias("genome"), seq.alias("_seq"), clean.alias("_clean")).filter(F.length("_seq") >= window)
+    data = F.when(seq.rlike("[^ACGT]"), F.regexp_replace(seq, "[^ACGT]", "N")).otherwise(seq).cast("binary")
+    rows = genomes.select(F.col(genome).alias("genome"), data.alias("bytes")).filter(F.length("bytes") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((length(bytes) - 1) div {bases} as int)")), lambda g: F.struct((g * bases).cast("bigint").alias("offset"), F.substring(F.col("bytes"), g * bases + 1, F.lit(bases)).cast("string").alias("sequence")))
+    return rows.select("genome", F.inline(cut))
+
+
+def _size(window: int, stride: int, cell: int) -> int:
+    if window <= 0 or stride <= 0 or cell <= 0:
+        raise ValueError("window, stride and cell must be positive")
+    return max(window, cell)
+
+
+def _windows(cells: DataFrame, window: int, stride: int, size: int, skip_ambiguous: bool) -> DataFrame:
+    """Fragments of cells (genome, cell, bytes), which hold their halo."""
+    bad = F.col("bytes").cast("string").rlike("[^ACGT]")
     if not skip_ambiguous:
-        rows = rows.filter(F.when(F.col("_clean"), F.lit(True)).otherwise(F.raise_error(F.lit("genome holds unsupported bases")).cast("boolean")))
-    starts = F.sequence(F.lit(0), F.length("_seq") - window, F.lit(stride))
-    out = rows.select("genome", "_seq", "_clean", F.explode(starts).alias("start")).select(
-        "genome", F.col("start").cast("bigint").alias("start"), (F.col("start") + window).cast("bigint").alias("end"), F.substring(F.col("_seq"), F.col("start") + 1, F.lit(window)).alias("sequence"), "_clean"
-    )
+        # A genome shorter than a window has one cell, and is passed over before it can raise.
+        wrong = bad & ((F.length("bytes") >= window) | (F.col("cell") > 0))
+        cells = cells.filter(F.when(wrong, F.raise_error(F.lit("genome holds unsupported bases")).cast("boolean")).otherwise(F.lit(True)))
+    low = F.col("cell") * size
+    first = F.expr(f"(cell * {size} + {stride - 1}) div {stride} * {stride}")
+    last = F.least(low + size - 1, low + F.length("bytes") - window)
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(stride).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(F.col("bytes"), (s - low + 1).cast("int"), F.lit(window)).cast("string").alias("sequence")))
     if not skip_ambiguous:
-        return out.select("genome", (F.col("start") / stride).cast("bigint").alias("fragment_id"), "start", "end", "sequence")
-    out = out.filter(F.col("_clean") | ~F.col("sequence").rlike("[^ACGT]"))
-    dense: Column = F.row_number().over(Window.partitionBy("genome").orderBy("start")) - 1
-    return out.select("genome", dense.cast("bigint").alias("fragment_id"), "start", "end", "sequence")
+        out = cells.select("genome", F.inline(cut))
+        return out.select("genome", F.expr(f"start div {stride}").alias("fragment_id"), "start", (F.col("start") + window).alias("end"), "sequence")
+    kept = F.when(bad, F.filter(cut, lambda w: ~w["sequence"].rlike("[^ACGT]"))).otherwise(cut)
+    held = cells.select("genome", "cell", kept.alias("windows"))
+    sizes = held.select("genome", "cell", F.size("windows").cast("bigint").alias("n"))
+    firsts = prefix_sums(sizes, ["genome"], "cell", "n", "before", F.expr(f"cell div {CELLS_TOGETHER}")).select(F.col("genome").alias("_genome"), F.col("cell").alias("_cell"), "before")
+    both = held.join(firsts, F.col("genome").eqNullSafe(F.col("_genome")) & (F.col("cell") == F.col("_cell")))
+    out = both.select("genome", "before", F.posexplode("windows").alias("i", "w"))
+    return out.select("genome", (F.col("before") + F.col("i")).alias("fragment_id"), F.col("w.start").alias("start"), (F.col("w.start") + window).alias("end"), F.col("w.sequence").alias("sequence"))

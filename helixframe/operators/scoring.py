@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import alignment as al
+from helixframe.functions import gaps
 from helixframe.functions import sequences as sq
-from helixframe.schemas import Scoring
+from helixframe.schemas import AffineScoring, Scoring
 
 
 def hamming(pairs: DataFrame, mode: str = "char") -> DataFrame:
@@ -51,16 +53,73 @@ def align_distinct(pairs: DataFrame, algorithm: str = "nw", scoring: Scoring | N
     return pairs.join(scored, ["seq_a", "seq_b"]).select("pair_id", "sequence_length_a", "sequence_length_b", SCORE_COLUMN[algorithm])
 
 
+def align_affine(pairs: DataFrame, algorithm: str = "nw", scoring: AffineScoring | None = None) -> DataFrame:
+    """As align, with affine gaps."""
+    if algorithm not in SCORE_COLUMN:
+        raise ValueError("algorithm is nw or sw")
+    s, local = scoring or AffineScoring(), algorithm == "sw"
+
+    @F.pandas_udf("bigint")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return al.align_series(a, b, local, s, gaps.affine_batch)
+
+    return pairs.select("pair_id", F.length("seq_a").alias("sequence_length_a"), F.length("seq_b").alias("sequence_length_b"), score("seq_a", "seq_b").alias(SCORE_COLUMN[algorithm]))
+
+
+def align_banded(pairs: DataFrame, scoring: Scoring | None = None, width: int = 16) -> DataFrame:
+    """(pair_id, alignment_score, cells_computed, band_width): global scores from the narrowest band that proves them."""
+    if width < 1:
+        raise ValueError("width must be positive")
+    s = scoring or Scoring()
+
+    @F.pandas_udf("alignment_score bigint, cells_computed bigint, band_width bigint")
+    def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if x is None or y is None else gaps.banded(x, y, s, width) for x, y in zip(a, b)]
+        return pd.DataFrame(rows, columns=["alignment_score", "cells_computed", "band_width"], dtype="Int64")
+
+    return pairs.select("pair_id", score("seq_a", "seq_b").alias("r")).select("pair_id", "r.*")
+
+
+def traceback(pairs: DataFrame, scoring: Scoring | None = None) -> DataFrame:
+    """(pair_id, cigar): one best global alignment in runs of =, X, I (base of b alone) and D (base of a alone)."""
+    s = scoring or Scoring()
+
+    @F.pandas_udf("string")
+    def trace(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else gaps.cigar(x, y, s) for x, y in zip(a, b)], dtype=object)
+
+    return pairs.select("pair_id", trace("seq_a", "seq_b").alias("cigar"))
+
+
+def replay(seq_a: Column, seq_b: Column, cigar: Column, scoring: Scoring | None = None) -> Column:
+    """The score that a cigar's operations add up to; null unless they use up both sequences and = and X say what is there."""
+    s = scoring or Scoring()
+    runs = F.transform(F.regexp_extract_all(cigar, F.lit("[0-9]+[=XID]"), F.lit(0)), lambda r: F.struct(r.alias("r")))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).cast("bigint").alias("score"), F.lit(True).alias("ok"))
+
+    def step(at: Column, run: Column) -> Column:
+        n, op = F.regexp_replace(run["r"], "[=XID]", "").cast("int"), F.right(run["r"], F.lit(1))
+        x, y = F.substring(seq_a, at["i"] + 1, n), F.substring(seq_b, at["j"] + 1, n)
+        differ = F.aggregate(F.zip_with(sq.chars(x), sq.chars(y), lambda p, q: F.when(p == q, 0).otherwise(1)), F.lit(0), lambda acc, v: acc + v)
+        ok = F.when(op == "=", x == y).when(op == "X", differ == n).otherwise(True)
+        gain = F.when(op == "=", F.lit(s.match)).when(op == "X", F.lit(s.mismatch)).otherwise(F.lit(s.gap))
+        return F.struct((at["i"] + F.when(op == "I", 0).otherwise(n)).alias("i"), (at["j"] + F.when(op == "D", 0).otherwise(n)).alias("j"), (at["score"] + n * gain).cast("bigint").alias("score"), (at["ok"] & ok).alias("ok"))
+
+    whole = lambda at: F.when(at["ok"] & (at["i"] == F.length(seq_a)) & (at["j"] == F.length(seq_b)), at["score"])
+    return F.aggregate(runs, start, step, whole)
+
+
 def dp_memory_bytes(length_a, length_b, implementation: str = "rolling"):
     """Estimated bytes of a pair's score matrix: three diagonals, or the whole matrix."""
+    a, b = length_a.cast("bigint"), length_b.cast("bigint")
     if implementation in ("rolling", "rolling_diagonal"):
-        return (3 * (length_a + 1) * 4).cast("bigint")
-    return ((length_a + 1) * (length_b + 1) * 4).cast("bigint")
+        return 3 * (a + 1) * 4
+    return (a + 1) * (b + 1) * 4
 
 
 def cells(length_a, length_b):
     """Cells of the score matrix, borders counted."""
-    return ((length_a + 1) * (length_b + 1)).cast("bigint")
+    return (length_a.cast("bigint") + 1) * (length_b.cast("bigint") + 1)
 
 
 def batches(pairs: DataFrame, batch_size: int) -> DataFrame:

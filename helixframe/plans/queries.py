@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as sq
-from helixframe.operators import compare, dictionary, pairing, reports, scoring
+from helixframe.operators import compare, dictionary, longpair, pairing, reports, scoring
 from helixframe.operators import fragments as fr
 from helixframe.operators import validation as va
 from helixframe.plans.tables import CTE, OTHERS, TIMINGS_SQL, doc_dna, doc_pairs, key_fragments, key_pairs, repeated_pairs, table, timings, with_ctes
-from helixframe.schemas import Scoring
+from helixframe.schemas import AffineScoring, Scoring
+from helixframe.sources import readers, sinks
+from helixframe.storage import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,6 +70,18 @@ def _(s, d):
     return fr.fragment(table(s, d, "documents").select("doc_id", seq.alias("seq")), 16, 8, genome="doc_id", sequence="seq", skip_ambiguous=True)
 
 
+@query("fragments_chunked", SQL["fragments"])
+def _(s, d):
+    return fr.fragment_chunks(fr.chunked(doc_dna(s, d), 1000, genome="doc_id", sequence="seq"), 64, 16, cell=4096)
+
+
+@query("fragments_chunked_skip_ambiguous", SQL["fragments_skip_ambiguous"])
+def _(s, d):
+    seq = F.translate(F.regexp_replace("text", "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTNC")
+    chunks = fr.chunked(table(s, d, "documents").select("doc_id", seq.alias("seq")), 777, genome="doc_id", sequence="seq")
+    return fr.fragment_chunks(chunks, 16, 8, skip_ambiguous=True, cell=2048)
+
+
 U32 = "('0x'||substr(md5({0}),1,8))::bigint"
 
 
@@ -141,6 +155,26 @@ def _(s, d):
     return out
 
 
+# Text scans -----------------------------------------------------------------------------------------------------------
+
+
+@query("pair_text_scan", with_ctes("doc_dna", "doc_pairs") + "select row_number() over (order by pair_id) - 1 as pair_id, seq_a, seq_b from doc_pairs where seq_a <> ''")
+def _(s, d):
+    """Pairs written as text files and read back in byte ranges, numbered by their place in the files."""
+    path = Store(s).folder("pairs")
+    sinks.write_pairs_text(doc_pairs(s, d).filter("seq_a <> ''"), path)
+    return readers.read_pairs(s, path)
+
+
+@query("fasta_scan", with_ctes("doc_dna") + "select 'doc ' || doc_id as header, seq as sequence from doc_dna")
+def _(s, d):
+    """Sequences written as FASTA, one line of 70 bases or a whole sequence a line, read back in chunks and put together."""
+    path = Store(s).folder("fasta")
+    lines = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("seq", "(.{70})", "$1\n")).otherwise(F.col("seq"))
+    doc_dna(s, d).select(F.concat(F.lit(">doc "), F.col("doc_id").cast("string"), F.lit("\n"), lines)).write.text(path)
+    return readers.read_fasta(s, path, multi=True)
+
+
 # Hamming --------------------------------------------------------------------------------------------------------------
 
 
@@ -225,6 +259,57 @@ for _n, _alg, _impl, _sc in [
     query(_n, align_sql("customer_pairs", _alg == "sw", *((1, -2, -1) if _sc else ())))(lambda s, d, a=_alg, i=_impl, c=_sc: scoring.align(_customers(s, d), a, c, i))
 
 
+@query("nw_tiled", align_sql("customer_pairs", False))
+def _(s, d):
+    return longpair.align_long(_customers(s, d), "nw", size=12)
+
+
+@query("sw_tiled", align_sql("customer_pairs", True))
+def _(s, d):
+    return longpair.align_long(_customers(s, d), "sw", size=12)
+
+
+def affine_sql(source: str, local: bool, m: int = 2, x: int = -1, first: int = -4, more: int = -1) -> str:
+    """Recursive rows: the best of each cell, and the best that ends in a gap from above; a gap along the row as a prefix maximum."""
+    zero = ", 0" if local else ""
+    edge = lambda n: "0" if local else f"(case when {n} = 0 then 0 else {first} + ({n} - 1) * ({more}) end)"
+    out, name = ("best", "max_local_alignment_score") if local else ("row[len(row)]", "alignment_score")
+    return (
+        f"with recursive {CTE[source]}, p as (select pair_id, seq_a as a, seq_b as b from {source}), d(pair_id,i,row,up,best) as (select pair_id, 0, list_transform(range(0,len(b)+1), lambda j: {edge('j')}::int)::int[], list_transform(range(0,len(b)+1), lambda j: -100000::int)::int[], 0 from p "
+        f"union all select d.pair_id, i+1, r.nr, v.v, greatest(best, list_max(r.nr)) from d join p using(pair_id), lateral (select list_transform(range(1,len(p.b)+2), lambda j: greatest(d.row[j]+({first}), d.up[j]+({more}))::int) v) v, lateral (select list_transform(range(1,len(p.b)+2), lambda j: (case when j=1 then {edge('(i+1)')} else "
+        f"greatest(d.row[j-1] + (case when substr(p.a,i+1,1)=substr(p.b,(j-1)::int,1) then {m} else {x} end), v.v[j]{zero}) end)::int) u) u, lateral (select list_transform(range(1,len(p.b)+2), lambda j: "
+        f"(case when j=1 then u.u[1] else greatest(u.u[j], list_max(list_transform(range(1,j), lambda k: (u.u[k]+({first})+(j-k-1)*({more}))::int))) end)::int) nr) r where i < len(p.a)) "
+        f"select pair_id, len(a)::int as sequence_length_a, len(b)::int as sequence_length_b, {out}::bigint as {name} from d join p using(pair_id) where i = len(p.a)"
+    )
+
+
+AFFINE = AffineScoring()
+
+
+@query("nw_affine", affine_sql("customer_pairs", False))
+def _(s, d):
+    return scoring.align_affine(_customers(s, d), "nw", AFFINE)
+
+
+@query("sw_affine", affine_sql("customer_pairs", True))
+def _(s, d):
+    return scoring.align_affine(_customers(s, d), "sw", AFFINE)
+
+
+@query("nw_traceback", f"select pair_id, alignment_score, alignment_score as replayed_score from ({align_sql('customer_pairs', False)})")
+def _(s, d):
+    """A best alignment's operations, replayed on both sequences, add up to the score of the kernel."""
+    p = _customers(s, d)
+    traced = p.join(scoring.traceback(p), "pair_id").select("pair_id", scoring.replay(F.col("seq_a"), F.col("seq_b"), F.col("cigar")).alias("replayed_score"))
+    return scoring.align(p, "nw").select("pair_id", "alignment_score").join(traced, "pair_id")
+
+
+@query("nw_banded", f"select pair_id, alignment_score, true as proven from ({align_sql('repeated_pairs', False)})")
+def _(s, d):
+    out = scoring.align_banded(repeated_pairs(s, d), width=4)
+    return out.select("pair_id", "alignment_score", (F.col("band_width") >= 4).alias("proven"))
+
+
 @query("nw_distinct_pairs", align_sql("repeated_pairs", False))
 def _(s, d):
     return scoring.align_distinct(repeated_pairs(s, d), "nw")

@@ -41,3 +41,13 @@ class Scoring:
     match: int = 2
     mismatch: int = -1
     gap: int = -2
+
+
+@dataclass(frozen=True)
+class AffineScoring:
+    """Alignment scores with affine gaps: a gap of n bases adds gap_open + (n - 1) * gap_extend."""
+
+    match: int = 2
+    mismatch: int = -1
+    gap_open: int = -4
+    gap_extend: int = -1

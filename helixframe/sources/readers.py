@@ -1,4 +1,4 @@
-"""Sources: pair text, FASTA, synthetic pairs, run logs, benchmark CSV."""
+"""Sources: pair text and FASTA (byte ranges), synthetic pairs, run logs, benchmark CSV."""
 
 from __future__ import annotations
 
@@ -11,44 +11,32 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from helixframe.schemas import PAIR
+from helixframe.sources.ranges import scan_fasta, scan_pairs
 
 
 def read_pairs(spark: SparkSession, path: str, mode: str = "token") -> DataFrame:
-    """(pair_id, seq_a, seq_b) from text, pair_id in input order.
+    """(pair_id, seq_a, seq_b) from a text file or a folder of them, of any size, pair_id in input order.
 
-    'token': whitespace tokens in pairs across lines, an odd last token dropped; each file is one row, and ids restart
-    with each file, so it suits single files. 'line': one pair a line, any size; ids come from a line index, the one
-    place where the RDD interface is needed, because only it numbers lines in file order without a sort.
+    'token': whitespace tokens in pairs across lines, a file's odd last token dropped. 'line': one pair a line; a line of one
+    token has no second sequence, an empty one has an empty first. Files are read in byte ranges (see ranges.py).
     """
-    if mode == "token":
-        words = F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda w: w != "")
-        text = spark.read.text(path, wholetext=True)
-        rows = text.select(words.alias("w")).filter(F.size("w") >= 2)
-        i = F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1)).alias("i")
-        return rows.select("w", i).select(F.col("i").cast("bigint").alias("pair_id"), F.element_at("w", 2 * F.col("i") + 1).alias("seq_a"), F.element_at("w", 2 * F.col("i") + 2).alias("seq_b"))
-    if mode != "line":
+    if mode not in ("token", "line"):
         raise ValueError("mode is token or line")
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    parts = F.split(F.trim("value"), r"\s+")
-    return spark.createDataFrame(lines, "pair_id bigint, value string").select("pair_id", F.element_at(parts, 1).alias("seq_a"), F.try_element_at(parts, F.lit(2)).alias("seq_b"))
+    return scan_pairs(spark, path, by_line=mode == "line")
 
 
-def read_fasta(spark: SparkSession, path: str, multi: bool = False) -> DataFrame:
-    """(header, sequence), upper case. One record, unless multi (an extension) is set.
+def read_fasta_chunks(spark: SparkSession, path: str, multi: bool = False) -> DataFrame:
+    """(record, genome, offset, sequence): FASTA in chunks of bounded size. One record, unless multi (an extension) is set.
 
-    A second record, or sequence text before a named header, raises. An empty header counts as none.
+    A second record, or sequence text before a named header, raises.
     """
-    lines = F.filter(F.transform(F.split("value", r"\r?\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = spark.read.text(path, wholetext=True).select(lines.alias("lines"))
-    if multi:
-        recs = rows.select(F.explode(F.filter(F.split(F.array_join("lines", "\n"), r"(?m)^>"), lambda r: F.trim(r) != "")).alias("r"))
-        return recs.select(F.trim(F.split_part("r", F.lit("\n"), F.lit(1))).alias("header"), F.upper(F.regexp_replace(F.expr("substr(r, length(split_part(r, '\n', 1)) + 1)"), r"\s", "")).alias("sequence"))
-    heads = F.filter("lines", lambda x: x.startswith(">"))
-    named = F.filter(heads, lambda x: F.length(x) > 1)
-    body = F.upper(F.array_join(F.filter("lines", lambda x: ~x.startswith(">")), ""))
-    bad = (F.size(heads) != 1) | (F.size(named) != 1) | ~F.coalesce(F.get("lines", F.lit(0)).startswith(">"), F.lit(False))
-    head = F.when(bad, F.raise_error(F.lit("expected one FASTA record with a header first")).cast("string")).otherwise(F.trim(F.substr(F.get(named, F.lit(0)), F.lit(2))))
-    return rows.select(head.alias("header"), body.alias("sequence"))
+    return scan_fasta(spark, path, single=not multi)
+
+
+def read_fasta(spark: SparkSession, path: str, multi: bool = False) -> DataFrame:
+    """(header, sequence), upper case: the chunks put together, a row for each record. For genomes that fit a row."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "sequence"))), lambda x: x["sequence"])
+    return read_fasta_chunks(spark, path, multi).groupBy("record", F.col("genome").alias("header")).agg(F.array_join(ordered, "").alias("sequence")).filter("record >= 0 and (header <> '' or sequence <> '')").select("header", "sequence")
 
 
 def synthetic_pairs(spark: SparkSession, n: int, length: int, seed: int = 42, exact: bool = False) -> DataFrame:
