@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +54,7 @@ def _crc(words: pa.ChunkedArray) -> pa.Array:
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    size = np.cumsum(np.array([0 if t is None else t for t in pa.compute.utf8_length(texts).to_pylist()], np.int64))
+    size = np.cumsum(np.array([0 if t is None else t for t in pc.utf8_length(texts).to_pylist()], np.int64))
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_CHARS)))
@@ -88,10 +89,10 @@ def bucket_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                     place = np.full(n, -1, np.int64)  # a text without words has no row yet
                     place[at] = np.arange(len(at))
                     take = pa.array(place, mask=place < 0)
-                    counts = [pa.compute.fill_null(got[k].take(take).cast(pa.int64()), 0).combine_chunks() for k in ("n_words", "n_features")]
+                    counts = [pc.fill_null(got[k].take(take).cast(pa.int64()), 0).combine_chunks() for k in ("n_words", "n_features")]
                     words += int(np.sum(counts[0].to_numpy()))
                     none = [pa.array([[]] * 1, t) for t in (arrow.field("b").type, arrow.field("c").type)]
-                    made = [pa.compute.coalesce(x.cast(y.type).take(take), y[0]) for x, y in zip(lists, none)]
+                    made = [pc.coalesce(x.cast(y.type).take(take), y[0]) for x, y in zip(lists, none)]
                     cells = [pa.array([False] * n), batch.column(1).slice(lo, n), *counts, *made]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, arrow)], names=names)
             some = np.flatnonzero(total)
