@@ -77,7 +77,8 @@ def step(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 n[j] += len(mine)
                 total[j] += mine.sum(axis=0)
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "s": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "s": list(total[some])})
 
     parts = rows.select("v").mapInPandas(sums, "cluster int, n bigint, s array<bigint>")
     merged = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(centroids.shape[1])]).alias("s"))
