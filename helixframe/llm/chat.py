@@ -11,8 +11,8 @@ back gives the very text. The loss mask covers each assistant text and nothing e
 
 A conversation's turns are sorted within its task and streamed, so memory does not grow with its length, nor with that of a
 text's neighbours. Null texts and roles are empty; null turn numbers come first; ties go by role, then text; rows that repeat
-are turns of their own; rows of null conv_id form one conversation. A null record, malformed JSON, an unknown layout and an
-empty list of turns have no turns: the conversation stays, with what turns its other records have, if any. An empty table
+are turns of their own; rows of null conv_id form one conversation. A null record, malformed or too deeply nested JSON, an unknown layout and
+an empty list of turns have no turns: the conversation stays, with what turns its other records have, if any. An empty table
 gives an empty one.
 """
 
@@ -126,11 +126,19 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _parsed(record: str | None) -> Any:
+def sound(text: str) -> str:
+    """The text with each half of a surrogate pair that stands alone as U+FFFD, so that it can be written as UTF-8."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def record_turns(record: str | None, registry: dict[str, dict] = REGISTRY) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a record of JSON text. None if it is null, malformed, nested too deeply to be read or of no
+    known layout. Of keys that repeat in an object the last counts."""
     try:
-        return json.loads(record) if record is not None else None
-    except ValueError:
-        return None
+        turns = canonical_turns(json.loads(record), registry) if record is not None else None
+    except (ValueError, RecursionError):
+        return []
+    return [(sound(role), sound(text)) for role, text in turns or []]
 
 
 def to_turns(records: DataFrame, registry: dict[str, dict] = REGISTRY) -> DataFrame:
@@ -145,7 +153,7 @@ def to_turns(records: DataFrame, registry: dict[str, dict] = REGISTRY) -> DataFr
         for b in batches:
             rows = []
             for c, t, r in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                turns = canonical_turns(_parsed(r), registry)
+                turns = record_turns(r, registry)
                 rows += [(c, t, k, role, text, True) for k, (role, text) in enumerate(turns)] if turns else [(c, t, 0, "", "", False)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 

@@ -1,10 +1,13 @@
 """Quality by co-training: a text classifier and a metadata classifier teach each other, then are calibrated and combined.
 
 The text view has dense text features and hashed words; the metadata view has source, language and size and never sees
-the text. Features of all documents are computed once and stored. In each round both views score every unlabelled document;
-each hands the HANDED texts it is surest of, of the whole table, to the other as pseudo-labels (both classes at the labelled
-ratio; equal texts once; ties by a hash). Afterwards each view is calibrated (isotonic) on labelled rows that took no part in
-training, and a document's score is the mean of the two calibrated log odds, weighted by how well each view ranks those rows.
+the text. Features of all documents are computed once and stored. In each round both views score every unlabelled document,
+and each hands those it ranks highest and lowest, of the whole table, to the other as pseudo-labels: HANDED times the labelled
+rows, both classes at the labelled ratio, equal texts once, ties by a hash. A text goes over only if the other view does not
+speak against its label (AGREE). A view that does not rank labelled rows kept from training better than LEAST_AUC has no evidence to
+give: it hands nothing over, and the result says so (`text_informs`, `meta_informs`). The model counts what each view gave in
+each round (`exchange`). Afterwards each view is calibrated (isotonic) on the rows kept from training, and a document's
+score is the mean of the two calibrated log odds, weighted by how well each view ranks those rows.
 
 Training takes a bounded sample of about MAX_LABELLED labelled rows, by a hash of id and text; nothing else is sampled.
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import features
@@ -28,9 +31,9 @@ from helixframe.llm.text import annotate
 
 MAX_LABELLED = 6_000
 ROUNDS = 3
-#: Pseudo-labels that a view hands over in a round, and how sure it must be by its own evidence.
-HANDED = 600
-SURE = 0.9
+#: Pseudo-labels that a view hands over in a round, as a share of the labelled rows it learns from; the least evidence for a label
+#: that the other view must show; the ranking of rows kept from training from which a view counts as informed.
+HANDED, AGREE, LEAST_AUC = 0.15, 0.3, 0.6
 WORD_DIMS = 128
 META_DIMS = 64
 TEXT_DIMS = len(features.NAMES) + WORD_DIMS
@@ -87,22 +90,26 @@ def _evidence(margin: np.ndarray, prior: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin - np.log(prior / (1 - prior)), -30, 30)))
 
 
-def _handed(free: DataFrame, store: Store, va: Logistic, vb: Logistic, priors: tuple[float, float], share: float, taken: list[int]) -> tuple[dict[int, float], dict[int, float]]:
-    """Text hashes and labels that view a, and view b, are surest of among all unlabelled documents."""
+def _handed(free: DataFrame, store: Store, va: Logistic, vb: Logistic, priors: tuple[float, float], counts: tuple[int, int], speaks: tuple[bool, bool], taken: list[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Text hashes and labels that view a, and view b, rank first among all unlabelled documents. counts: of labels 1 and 0.
+
+    A text that both views give with different labels goes to neither."""
     held = free.sparkSession.sparkContext.broadcast((va, vb))
     scored = _mapped(free, "t", lambda a, b: [_evidence(v.margin(x), p) for v, x, p in zip(held.value, (a, b), priors)], "p double, q double")
     stored = store.put(scored.groupBy("t").agg(F.max("p").alias("p"), F.max("q").alias("q")), "scored")  # equal texts once
     scored = stored.filter(~F.col("t").isin(taken)) if taken else stored
-    out = []
-    for c in ("p", "q"):
+    out: list[dict[int, float]] = []
+    for own, other, may in (("p", "q", speaks[0]), ("q", "p", speaks[1])):
         got: dict[int, float] = {}
-        for label, n in ((1.0, round(HANDED * share)), (0.0, HANDED - round(HANDED * share))):
-            sure = F.col(c) if label else 1 - F.col(c)
-            for r in scored.filter(sure >= SURE).orderBy(sure.desc(), F.xxhash64("t")).select("t").limit(n).collect():  # HANDED at most
-                got[r["t"]] = label
+        for label, n in zip((1.0, 0.0), counts):
+            side = lambda c: F.col(c) if label else 1 - F.col(c)  # noqa: B023, E731
+            if may and n:
+                first = scored.filter((side(own) > 0.5) & (side(other) >= AGREE)).orderBy(side(own).desc(), F.xxhash64("t"))
+                got |= {r["t"]: label for r in first.select("t").limit(n).collect()}  # a bounded share of the labelled rows
         out.append(got)
     store.drop(stored)
-    return out[0], {k: v for k, v in out[1].items() if k not in out[0]}
+    unlike = {k for k in out[0].keys() & out[1].keys() if out[0][k] != out[1][k]}
+    return tuple({k: v for k, v in g.items() if k not in unlike} for g in out)
 
 
 def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> dict:
@@ -115,8 +122,9 @@ def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "d
     drawn = F.broadcast(store.put(marks.filter(u(11, "id", "y") < min(1.0, max_labelled / n[0])), "drawn"))  # about max_labelled rows, by the draw
     known = table.join(drawn, "id")
     found = known.count()
-    if found > 1.2 * max_labelled:  # an id of many rows
-        known = known.filter(F.rand(13) < max_labelled / found)
+    if found > 1.2 * max_labelled:  # an id of many rows: by the row, and equal rows by their number, whatever the partitions
+        nth = F.row_number().over(Window.partitionBy("id", "t", "source", "lang", "y").orderBy(F.lit(0)))
+        known = known.withColumn("nth", nth).filter(u(13, "id", "t", "source", "lang", "y", "nth") < max_labelled / found).drop("nth")
     got = known.select("id", "t", "y", "source", "lang", "n_chars", "a").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
@@ -132,15 +140,21 @@ def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "d
     xa, xb, ya, yb = a[~held], b[~held], y[~held], y[~held]
     va, vb = fit(xa, ya), fit(xb, yb)
     free = table.join(marks.select("id").distinct(), "id", "left_anti")
+    c = held if 0 < y[held].sum() < held.sum() else ~held
+    informs = lambda: (auc(va.margin(a[c]), y[c]) >= LEAST_AUC, auc(vb.margin(b[c]), y[c]) >= LEAST_AUC)
+    pairs = round(HANDED * len(ya) * share), round(HANDED * len(ya) * (1 - share))
     taken: list[int] = []
+    exchange: list[dict] = []
     for _ in range(rounds):
-        from_a, from_b = _handed(free, store, va, vb, (float(ya.mean()), float(yb.mean())), share, taken)
+        speaks = informs()
+        from_a, from_b = _handed(free, store, va, vb, (float(ya.mean()), float(yb.mean())), pairs, speaks, taken)
+        exchange.append({"from_text": len(from_a), "from_meta": len(from_b), "text_informs": speaks[0], "meta_informs": speaks[1]})
         if not from_a and not from_b:
             break
         both = from_a | from_b
         taken += sorted(both)
         wanted = F.broadcast(free.sparkSession.createDataFrame([(k,) for k in sorted(both)], "t bigint"))
-        rows = free.join(wanted, "t").groupBy("t").agg(*[F.min_by(c, F.struct("source", "lang", "n_chars")).alias(c) for c in ("source", "lang", "n_chars", "a")]).toArrow()
+        rows = free.join(wanted, "t").groupBy("t").agg(*[F.min_by(x, F.struct("source", "lang", "n_chars")).alias(x) for x in ("source", "lang", "n_chars", "a")]).toArrow()
         pa_, pb_ = _views(rows)
         t = rows.column("t").to_pylist()
         for mine, giver in ((True, from_a), (False, from_b)):
@@ -151,10 +165,9 @@ def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "d
             elif at:
                 xa, ya = np.r_[xa, pa_[at]], np.r_[ya, label]
         va, vb = fit(xa, ya), fit(xb, yb)
-    c = held if 0 < y[held].sum() < held.sum() else ~held
     ma, mb = va.margin(a[c]), vb.margin(b[c])
     wa, wb = max(auc(ma, y[c]) - 0.5, 0.01) ** 2, max(auc(mb, y[c]) - 0.5, 0.01) ** 2
-    return {"a": va, "b": vb, "ia": Isotonic().fit(ma, y[c]), "ib": Isotonic().fit(mb, y[c]), "w": wa / (wa + wb), "handed": len(taken)}
+    return {"a": va, "b": vb, "ia": Isotonic().fit(ma, y[c]), "ib": Isotonic().fit(mb, y[c]), "w": wa / (wa + wb), "handed": len(taken), "exchange": exchange, "informs": informs()}
 
 
 def combine(a: np.ndarray, b: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,14 +181,15 @@ def combine(a: np.ndarray, b: np.ndarray, model: dict) -> tuple[np.ndarray, np.n
 
 
 def score(table: DataFrame, model: dict) -> DataFrame:
-    """(id, text_score, meta_score, score, keep) of every row of features."""
+    """(id, text_score, meta_score, score, keep, text_informs, meta_informs) of every row of features."""
     held = table.sparkSession.sparkContext.broadcast(model)
     out = _mapped(table, "id", lambda a, b: combine(a, b, held.value), "text_score double, meta_score double, score double")
-    return out.withColumn("keep", F.col("score") >= 0.5)
+    text, meta = model.get("informs", (False, False))
+    return out.withColumns({"keep": F.col("score") >= 0.5, "text_informs": F.lit(bool(text)), "meta_informs": F.lit(bool(meta))})
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", **options) -> DataFrame:
-    """(doc_id, text_score, meta_score, score, keep) of every document: features, co-training and scores."""
+    """(doc_id, text_score, meta_score, score, keep, text_informs, meta_informs) of every document: features, co-training and scores."""
     store = Store(docs.sparkSession)
     table = featured(docs, store, doc_id)
     return score(table, train(table, labels, store, doc_id=doc_id, label=label, **options)).withColumnRenamed("id", doc_id)

@@ -26,7 +26,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def op1_quality(spark, d):
     labels = table(spark, d, "labels")
     out = quality.classify(table(spark, d, "documents"), labels.filter(~langid.held_out(F.col("doc_id"), 5, 0)))
-    return out.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text_score", "meta_score", "score", "keep")
+    return out.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text_score", "meta_score", "score", "keep", "text_informs", "meta_informs")
 
 
 #: Target weights of the mixture. No source outweighs another; other languages and topics get nothing.

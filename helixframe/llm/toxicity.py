@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import features
@@ -109,8 +109,9 @@ def _drawn(docs: DataFrame, labels: DataFrame, store: Store, doc_id: str, text:
     found = {0: 0, 1: 0} | {r["y"]: r["n"] for r in found}
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "id")
     thin = {k: min(1.0, room[k] / max(found[k], 1)) for k in found}
-    if min(thin.values()) < 0.9:  # an id of many rows
-        rows = rows.filter(F.rand(4) < by_class(thin))
+    if min(thin.values()) < 0.9:  # an id of many rows: by the row, and equal rows by their number, whatever the partitions
+        nth = F.row_number().over(Window.partitionBy("id", "y", F.xxhash64("text")).orderBy("text"))
+        rows = rows.withColumn("nth", nth).filter(F.pmod(F.xxhash64("id", "y", "text", "nth", F.lit(4)), F.lit(1 << 30)) / float(1 << 30) < by_class(thin))
     rows = store.put(rows.select("text", "y", F.pmod(F.xxhash64("text", F.lit(4)), F.lit(FOLDS)).cast("int").alias("fold")), "training")
     return (rows if rows.select("y").distinct().count() == 2 else None), share
 
