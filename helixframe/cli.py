@@ -1,6 +1,8 @@
 """Command line: score, fragment, generate, encode.
 
-    python -m helixframe.cli hamming IN OUT [--mode char] [--summary-only] [--skip-validation] ...
+    python -m helixframe.cli hamming IN OUT [--mode char] [--summary-only] [--write-results] [--skip-validation] ...
+
+Times are of Spark jobs: each phase reads the stored input and runs to its end.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators import compare, dictionary, pairing, scoring
+from helixframe.functions.sequences import encode_digits
+from helixframe.operators import compare, dictionary, pairing, reports, scoring
 from helixframe.operators import fragments as fr
 from helixframe.operators import validation as va
 from helixframe.schemas import Scoring
@@ -29,10 +32,13 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--repetitions", type=int, default=5)
         s.add_argument("--input-mode", choices=["token", "line"], default="token")
         s.add_argument("--summary-only", action="store_true")
+        s.add_argument("--write-results", action="store_true", help="write rows even with --summary-only")
         s.add_argument("--skip-validation", action="store_true")
         if name == "hamming":
+            s.set_defaults(validated=False)
             s.add_argument("--mode", choices=["char", "encoded", "indexed"], default="char")
         else:
+            s.add_argument("--validated", action="store_true", help="rows with the reference score and whether it matches")
             s.add_argument("--match", type=int, default=2)
             s.add_argument("--mismatch", type=int, default=-1)
             s.add_argument("--gap", type=int, default=-2)
@@ -61,27 +67,76 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+class _Clock:
+    """Milliseconds of each phase; a phase that runs more than once keeps its mean and its least."""
+
+    def __init__(self):
+        self.began, self.ms = time.perf_counter(), {}
+
+    def run(self, phase: str, action, times: int = 1):
+        took = []
+        for _ in range(times):
+            t = time.perf_counter()
+            out = action()
+            took.append((time.perf_counter() - t) * 1000)
+        self.ms[f"{phase}_time_ms"] = sum(took) / len(took)
+        if times > 1:
+            self.ms[f"{phase}_min_time_ms"] = min(took)
+        return out
+
+
+def _through(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
 def _score(spark: SparkSession, a: argparse.Namespace) -> int:
-    pairs = va.require_rows(readers.read_pairs(spark, a.input, a.input_mode))
-    if a.command == "hamming":
-        pairs = va.check_pairs(pairs)
-        run = lambda mode=a.mode: scoring.hamming(pairs, mode)
+    clock, hamming = _Clock(), a.command == "hamming"
+    pairs = va.require_rows(readers.read_pairs(spark, a.input, a.input_mode)).persist()
+    clock.run("file_read", lambda: _through(pairs))
+    shape = clock.run("input_validation", lambda: va.length_ranges(va.check_pairs(pairs) if hamming else pairs).first())
+    found = {"algorithm": a.command, "number_of_pairs": shape["n_pairs"]}
+    if hamming:
+        found |= {"sequence_length": shape["max_a"], "total_bases_compared": pairs.agg(F.sum(F.length("seq_a"))).first()[0] or 0}
+        run = lambda: scoring.hamming(pairs, a.mode)
         column, other = "distance", (lambda: scoring.hamming(pairs, "char" if a.mode != "char" else "encoded"))
+        if a.mode == "indexed":
+            sides = pairs.select(F.explode(F.array("seq_a", "seq_b")).alias("seq")).distinct()
+            clock.run("dictionary", lambda: va.check_dictionary(sides))
+            cache, bytes_ = dictionary.cache_stats(pairs).first(), dictionary.footprint_stats(pairs).first()
+            found |= {"unique_sequence_count": bytes_["unique_sequences"], "cache_hit_count": cache["cache_hits"], "cache_miss_count": cache["cache_misses"], "cache_hit_rate": cache["cache_hit_rate"]}
+            index = 2 * dictionary.INDEX_BYTES * bytes_["pairs"]
+            found |= {"unique_fragment_bytes": bytes_["indexed_bytes"] - index, "pair_index_bytes": index, "flat_pair_bytes": bytes_["flat_bytes"], "flat_pair_bytes_avoided": bytes_["bytes_avoided"]}
+        elif a.mode == "encoded":
+            clock.run("encoding", lambda: _through(pairs.select(encode_digits(F.col("seq_a")).alias("a"), encode_digits(F.col("seq_b")).alias("b"))))
     else:
         s = Scoring(a.match, a.mismatch, a.gap)
+        found |= {"sequence_length_a": shape["max_a"], "sequence_length_b": shape["max_b"], "match_score": a.match, "mismatch_penalty": a.mismatch, "gap_penalty": a.gap, "implementation": a.implementation}
+        found["total_cells_computed"] = pairs.agg(F.sum(scoring.cells(F.length("seq_a"), F.length("seq_b")))).first()[0] or 0
         run = lambda impl=a.implementation: scoring.align(pairs, a.command, s, impl, a.batch_size, a.max_sequence_length)
         column, other = scoring.SCORE_COLUMN[a.command], (lambda: scoring.align(pairs, a.command, s, "rolling" if a.implementation in ("full", "global_matrix") else "full"))
-    times = []
-    for _ in range(max(1, a.repetitions)):
-        t = time.perf_counter()
-        run().write.format("noop").mode("overwrite").save()
-        times.append((time.perf_counter() - t) * 1000)
+    clock.run("scoring", lambda: _through(run()), max(1, a.repetitions))
     result = run()
-    status = "SKIPPED" if a.skip_validation else compare.verdict(compare.paired(other(), result, column)).first()["validation_status"]
-    if not a.summary_only:
-        sinks.write_csv(result, a.output, a.command)
-    shape = va.length_ranges(pairs).first()
-    print(sinks.key_values({"algorithm": a.command, "number_of_pairs": shape["n_pairs"], "sequence_length_a": shape["max_a"], "sequence_length_b": shape["max_b"], "average_time_ms": sum(times) / len(times), "min_time_ms": min(times), "validation_status": status, "results_written": not a.summary_only}))
+    compared = compare.skipped(result, column) if a.skip_validation else compare.paired(other(), result, column)
+    if not a.skip_validation:
+        clock.run("reference", lambda: _through(other()))
+    told = clock.run("validation", lambda: compare.verdict(compared).first())
+    status = told["validation_status"]
+    write = a.write_results or not a.summary_only
+    if write:
+        table, layout = (compare.validated(result, compared), "validated") if a.validated else (result, a.command)
+        clock.run("csv_write", lambda: sinks.write_csv(table, a.output, layout))
+    elif not hamming:
+        clock.run("csv_write", lambda: sinks.write_report(reports.metric_rows(pairs, status), a.output))
+    found |= {"repetitions": max(1, a.repetitions), "summary_only": a.summary_only, "write_results": write, "validation_status": status}
+    if status == "FAILED":
+        found |= {"first_mismatch_pair_id": told["first_mismatch_pair"], "reference_score": told["first_reference_score"], "score": told["first_score"]}
+    if write or not hamming:
+        found["output_path"] = a.output
+    clock.ms["end_to_end_time_ms"] = (time.perf_counter() - clock.began) * 1000
+    if not hamming:
+        found["cells_per_second"] = found["total_cells_computed"] / (clock.ms["scoring_time_ms"] / 1000)
+    print(sinks.key_values(clock.ms | found))
+    pairs.unpersist()
     return compare.exit_code(status)
 
 

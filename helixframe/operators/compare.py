@@ -19,6 +19,11 @@ def skipped(left: DataFrame, column: str) -> DataFrame:
     return left.select("pair_id", F.lit(None).cast("bigint").alias("reference_score"), F.col(column).cast("bigint").alias("score"), F.lit("SKIPPED").alias("match_status"))
 
 
+def validated(result: DataFrame, compared: DataFrame) -> DataFrame:
+    """(pair_id, sequence_length_a, sequence_length_b, reference_score, score, match_status) of alignment results."""
+    return result.select("pair_id", "sequence_length_a", "sequence_length_b").join(compared, "pair_id").select("pair_id", "sequence_length_a", "sequence_length_b", "reference_score", "score", "match_status")
+
+
 def verdict(compared: DataFrame) -> DataFrame:
     """One row: pairs, mismatches, the lowest mismatching pair with both values, status."""
     bad = F.col("match_status") == "FAILED"

@@ -45,3 +45,15 @@ def require_rows(df: DataFrame, what: str = "dataset") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"the {what} holds no sequence pairs")
     return df
+
+
+def check_dictionary(sequences: DataFrame, column: str = "seq") -> None:
+    """Rules of a dictionary, looked at once for each distinct sequence: some rows, one length, only ACGT in either case."""
+    bad = F.count_if(~F.coalesce(is_valid(F.col(column)), F.lit(False))).alias("bad")
+    r = sequences.agg(F.count("*").alias("n"), F.min(F.length(column)).alias("low"), F.max(F.length(column)).alias("high"), bad).first()
+    if not r["n"] or not r["high"]:
+        raise ValueError("the dataset holds no sequence pairs")
+    if r["low"] != r["high"]:
+        raise ValueError("dictionary sequences must have one length")
+    if r["bad"]:
+        raise ValueError("the dictionary holds an invalid DNA sequence")

@@ -11,7 +11,7 @@ from helixframe.functions import sequences as sq
 from helixframe.operators import compare, dictionary, longpair, pairing, reports, scoring
 from helixframe.operators import fragments as fr
 from helixframe.operators import validation as va
-from helixframe.plans.tables import CTE, OTHERS, TIMINGS_SQL, doc_dna, doc_pairs, key_fragments, key_pairs, repeated_pairs, table, timings, with_ctes
+from helixframe.plans.tables import CTE, MODES_SQL, RUNS_SQL, TIMINGS_SQL, doc_dna, doc_pairs, key_fragments, key_pairs, modes, repeated_pairs, runs, table, timings, with_ctes
 from helixframe.schemas import AffineScoring, Scoring
 from helixframe.sources import readers, sinks
 from helixframe.storage import Store
@@ -110,7 +110,26 @@ def _(s, d):
 
 
 _K = 5
-_DRAWS = f"draws as (select fragment_id as i, r, {U32.format(chr(39) + '42|' + chr(39) + '||fragment_id||' + chr(39) + '|' + chr(39) + '||r')} % ((select n from n)-1) as t from frags, range(0,{pairing.draw_count(_K)}) x(r)), ranked as (select i, t, row_number() over (partition by i order by min(r)) - 1 as rk from draws group by i, t), picked as (select (i*{_K} + rk)::bigint as pair_id, i, t + (case when t >= i then 1 else 0 end) as j from ranked where rk < {_K}), sampled as (select pair_id, a.sequence as seq_a, b.sequence as seq_b from picked join frags a on a.fragment_id = i join frags b on b.fragment_id = j)"
+
+
+def _sampled_sql(k: int) -> str:
+    """The grid's width is the one of the fewest cells, as in permutation_grid; rounds are nested selects."""
+    seed = "'42|'||i||'|'"
+    part = lambda r, other: U32.format(f"'{r}|'||{seed}||{other}")
+    rounds = "(select i, r, r // high as u, r % high as v, wide, high from frag_ids, grid, lateral (select unnest(range(0, take + wide * high - m)) as r))"
+    for r in range(pairing.ROUNDS):
+        step = f"(u + {part(r, 'v')}) % wide as u, v" if r % 2 == 0 else f"u, (v + {part(r, 'u')}) % high as v"
+        rounds = f"(select i, r, {step}, wide, high from {rounds})"
+    return (
+        f"size as (select n - 1 as m, least({k}, n - 1) as take from n), root as (select case when m > 1 then (select max(x) + 1 from range(0, m) q(x) where x * x <= m - 1) else 1 end as root from size), "
+        f"grid as (select w as wide, (m + w - 1) // w as high, m, take from size, root, lateral (select unnest(range(root, root + {pairing.WIDTHS})) as w) where w <= 2 * root order by w * ((m + w - 1) // w), w limit 1), "
+        f"frag_ids as (select fragment_id as i from frags), images as (select i, r, u * high + v as t from {rounds}), "
+        "ranked as (select i, t, row_number() over (partition by i order by r) - 1 as rk from images, size where t < m), "
+        f"sampled as (select (i * take + rk)::bigint as pair_id, a.sequence as seq_a, b.sequence as seq_b from ranked, size join frags a on a.fragment_id = i join frags b on b.fragment_id = t + (case when t >= i then 1 else 0 end) where rk < take)"
+    )
+
+
+_DRAWS = _sampled_sql(_K)
 
 
 @query("pairs_sampled", with_ctes("frags").rstrip() + f", {_DRAWS} select * from sampled")
@@ -380,60 +399,44 @@ def _(s, d):
 
 @query("throughput_metrics", f"select algorithm, num_pairs, sequence_length, num_pairs/(cpu_time_ms/1000) as pairs_per_second, num_pairs*sequence_length/(cpu_time_ms/1000) as bases_per_second, total_cells_computed/(cpu_time_ms/1000) as cells_per_second, cpu_time_ms/num_pairs as ms_per_pair from {TIMINGS_SQL}")
 def _(s, d):
-    return reports.with_throughput(timings(s)).select("algorithm", "num_pairs", "sequence_length", "pairs_per_second", "bases_per_second", "cells_per_second", "ms_per_pair")
+    return reports.with_throughput(timings(s, d)).select("algorithm", "num_pairs", "sequence_length", "pairs_per_second", "bases_per_second", "cells_per_second", "ms_per_pair")
 
 
 @query("best_by_mode", f"select algorithm, num_pairs, sequence_length, cpu_time_ms, total_cells_computed, validation_status from {TIMINGS_SQL} order by total_cells_computed/cpu_time_ms desc, sequence_length limit 1")
 def _(s, d):
-    t = timings(s)
+    t = timings(s, d)
     rate = t.withColumn("rate", F.col("total_cells_computed") / F.col("cpu_time_ms"))
     return reports.best_row(rate, "rate", "sequence_length").drop("rate")
 
 
-_MODES = [("adjacent", 99, 0.49, 1.9, 1.5, 1.1, "true"), ("all_vs_all", 9900, 0.99, 7.5, 4.0, 1.3, "true"), ("sampled", 500, 0.9, 5.25, 3.0, 1.2, "false"), ("mutated_queries", 200, 0.25, 1.2, 1.1, 1.0, None)]
-_MODES_SQL = "m(mode, n, hits, ratio, pipe, e2e, graphs) as (values " + ", ".join(f"('{m}',{n},{h},{r},{p},{e},{'null' if g is None else repr(g)})" for m, n, h, r, p, e, g in _MODES) + ")"
-
-
-def _modes(s):
-    rows = [(*r, "PASSED") for r in _MODES]
-    return s.createDataFrame(rows, "pairing_mode string, number_of_pairs bigint, cache_hit_rate double, transfer_reduction_ratio double, pipeline_speedup_indexed_vs_flat double, end_to_end_speedup_indexed_vs_flat double, use_cuda_graphs string, validation_status string")
-
-
-@query("findings", f"with {_MODES_SQL}, t as (select count(*) as n, (select mode || '|' || ratio::varchar from m order by ratio desc limit 1) as b, string_agg(mode, ', ' order by mode) as names, max(ratio) as ratio, count(*) filter (graphs = 'true') as g, avg(pipe) as pipe, avg(e2e) as e2e, "
+#: Titles and wording of findings are fixed values.
+@query("findings", f"with {MODES_SQL}, t as (select count(*) as n, (select mode || '|' || ratio::varchar from m order by ratio desc limit 1) as b, string_agg(mode, ', ' order by mode) as names, max(ratio) as ratio, count(*) filter (graphs = 'true') as g, avg(pipe) as pipe, avg(e2e) as e2e, "
        "max(n) filter (mode = 'all_vs_all') as an, max(pipe) filter (mode = 'all_vs_all') as ap, max(n) filter (mode = 'sampled') as sn, max(hits) filter (mode = 'sampled') as sh from m) "
        "select unnest(['F1','F2','F3','F4','F5','F6','F7']) as finding_id, unnest(['Validation passed across pairing modes','Indexed representation reduced transfer footprint','CUDA Graphs and cudaMallocAsync support was measured','all_vs_all is the strongest scalability stress mode','sampled is the recommended default benchmark mode','End-to-end speedup is smaller than pipeline speedup','CPU-side preprocessing is the next bottleneck']) as finding_title, "
        "unnest([printf('%d/%d modes reported VALIDATION_STATUS=PASSED: %s.', n, n, names), printf('Best transfer reduction ratio was %.3fx in %s mode.', ratio::double, split_part(b, '|', 1)), printf('CUDA Graphs active in %d/%d modes; cudaMallocAsync active in 0/%d modes.', g, n, n), printf('all_vs_all used %d pairs and %.3fx pipeline speedup.', an, ap::double), printf('sampled used %d pairs with %.3f cache hit rate.', sn, sh::double), "
        "printf('Average pipeline speedup was %.3fx, while average end-to-end speedup was %.3fx.', pipe::double, e2e::double), 'Remaining end-to-end work includes text parsing, unique sequence detection, encoding, index construction, CPU reference computation, and validation.']) as evidence from t")
 def _(s, d):
-    return reports.findings(reports.summary_rows(_modes(s)))
+    return reports.findings(reports.summary_rows(modes(s, d)))
 
 
-@query("mode_summary", f"with {_MODES_SQL} select mode as pairing_mode, n::bigint as number_of_pairs, 0::bigint as sequence_length, hits::double as cache_hit_rate, coalesce(graphs, 'false') as use_cuda_graphs, 'PASSED' as validation_status, case mode when 'adjacent' then 'Baseline correctness mode' when 'sampled' then 'Recommended default benchmark mode' when 'all_vs_all' then 'Best scalability stress mode' else 'Controlled mutation experiment mode' end as recommended_role from m")
+@query("mode_summary", f"with {MODES_SQL} select mode as pairing_mode, n::bigint as number_of_pairs, 0::bigint as sequence_length, hits::double as cache_hit_rate, coalesce(graphs, 'false') as use_cuda_graphs, 'PASSED' as validation_status, case mode when 'adjacent' then 'Baseline correctness mode' when 'sampled' then 'Recommended default benchmark mode' when 'all_vs_all' then 'Best scalability stress mode' else 'Controlled mutation experiment mode' end as recommended_role from m")
 def _(s, d):
-    return reports.summary_rows(_modes(s)).select("pairing_mode", "number_of_pairs", "sequence_length", "cache_hit_rate", "use_cuda_graphs", "validation_status", "recommended_role")
+    return reports.summary_rows(modes(s, d)).select("pairing_mode", "number_of_pairs", "sequence_length", "cache_hit_rate", "use_cuda_graphs", "validation_status", "recommended_role")
 
 
 @query("scaling_series", f"select num_pairs, string_agg(sequence_length::varchar, ',' order by sequence_length) as lengths, list_sum(list(cpu_time_ms order by sequence_length)) as total from {TIMINGS_SQL} where algorithm = 'nw' group by num_pairs")
 def _(s, d):
-    return reports.scaling_series(timings(s).filter("algorithm = 'nw'"), "cpu_time_ms")
-
-
-_RUNS_SQL = f"(select algorithm, 'rolling' as implementation, sequence_length, num_pairs, cpu_time_ms, validation_status from {TIMINGS_SQL} union all select * from (values " + ", ".join(f"('{a}','{i}',{n}::bigint,{p}::bigint,0.0::double,'{st}')" for a, i, p, n, st in OTHERS) + ") o)"
-
-
-def _runs(s):
-    others = s.createDataFrame([(a, i, n, p, 0.0, st) for a, i, p, n, st in OTHERS], "algorithm string, implementation string, sequence_length bigint, num_pairs bigint, cpu_time_ms double, validation_status string")
-    return timings(s).withColumn("implementation", F.lit("rolling")).select(*others.columns).unionByName(others)
+    return reports.scaling_series(timings(s, d).filter("algorithm = 'nw'"), "cpu_time_ms")
 
 
-@query("supported_lengths", f"select algorithm, implementation, sequence_length, max(case when validation_status = 'UNSUPPORTED' then 0 else 1 end)::int as supported from {_RUNS_SQL} group by 1, 2, 3")
+@query("supported_lengths", f"select algorithm, implementation, sequence_length, max(case when validation_status = 'UNSUPPORTED' then 0 else 1 end)::int as supported from {RUNS_SQL} group by 1, 2, 3")
 def _(s, d):
-    return reports.supported(_runs(s))
+    return reports.supported(runs(s, d))
 
 
-@query("supported_rows", f"select algorithm, implementation, num_pairs, sequence_length from {_RUNS_SQL} where validation_status <> 'UNSUPPORTED'")
+@query("supported_rows", f"select algorithm, implementation, num_pairs, sequence_length from {RUNS_SQL} where validation_status <> 'UNSUPPORTED'")
 def _(s, d):
-    return reports.by_workload(reports.only_supported(_runs(s), "validation_status")).select("algorithm", "implementation", "num_pairs", "sequence_length")
+    return reports.by_workload(reports.only_supported(runs(s, d), "validation_status")).select("algorithm", "implementation", "num_pairs", "sequence_length")
 
 
 _STREAMS = f"(select sequence_length, num_pairs, 32 * k as batch_size, k as num_streams, cpu_time_ms / k as ms from {TIMINGS_SQL}, (values (1), (2), (4)) v(k) where algorithm = 'nw')"
@@ -443,23 +446,23 @@ def _lines(df, line):
     return df.select("sequence_length", "num_pairs", line, F.concat_ws(",", F.transform("points", lambda p: F.concat_ws(":", p["x"].cast("string"), F.format_number(p["value"], 3)))).alias("points"))
 
 
-def _streams(s):
-    k = timings(s).filter("algorithm = 'nw'").withColumn("num_streams", F.explode(F.array(*[F.lit(x) for x in (1, 2, 4)])))
+def _streams(s, d):
+    k = timings(s, d).filter("algorithm = 'nw'").withColumn("num_streams", F.explode(F.array(*[F.lit(x) for x in (1, 2, 4)])))
     return k.withColumns({"batch_size": 32 * F.col("num_streams"), "ms": F.col("cpu_time_ms") / F.col("num_streams")})
 
 
 for _name, _line, _x, _t in [("stream_series", "batch_size", "num_streams", False), ("batch_series", "num_streams", "batch_size", True)]:
-    query(_name, f"select sequence_length, num_pairs, {_line}, string_agg({_x}::varchar || ':' || format('{{:.3f}}', ms), ',' order by {_x}) as points from {_STREAMS} group by 1, 2, 3")(lambda s, d, t=_t, c=_line: _lines(reports.stream_series(_streams(s), "ms", t), c))
+    query(_name, f"select sequence_length, num_pairs, {_line}, string_agg({_x}::varchar || ':' || format('{{:.3f}}', ms), ',' order by {_x}) as points from {_STREAMS} group by 1, 2, 3")(lambda s, d, t=_t, c=_line: _lines(reports.stream_series(_streams(s, d), "ms", t), c))
 
 
 @query("length_pivot", f"select num_pairs, max(case when sequence_length=16 then cpu_time_ms else 0 end) as \"16\", max(case when sequence_length=256 then cpu_time_ms else 0 end) as \"256\" from {TIMINGS_SQL} where algorithm = 'sw' group by 1")
 def _(s, d):
-    return reports.dense_pivot(timings(s).filter("algorithm = 'sw'"), "num_pairs", "sequence_length", [16, 256], "cpu_time_ms")
+    return reports.dense_pivot(timings(s, d).filter("algorithm = 'sw'"), "num_pairs", "sequence_length", [16, 256], "cpu_time_ms")
 
 
 @query("speedups", f"select a.num_pairs, a.sequence_length, a.cpu_time_ms / b.cpu_time_ms as sw_over_nw from {TIMINGS_SQL} a join {TIMINGS_SQL} b on a.num_pairs = b.num_pairs and a.sequence_length = b.sequence_length and a.algorithm = 'sw' and b.algorithm = 'nw'")
 def _(s, d):
-    t = timings(s)
+    t = timings(s, d)
     nw = t.filter("algorithm = 'nw'").select("num_pairs", "sequence_length", F.col("cpu_time_ms").alias("nw_ms"))
     both = t.filter("algorithm = 'sw'").join(nw, ["num_pairs", "sequence_length"])
     return reports.with_speedups(both, "cpu_time_ms", {"sw_over_nw": "nw_ms"}).select("num_pairs", "sequence_length", "sw_over_nw")

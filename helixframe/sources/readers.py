@@ -34,9 +34,9 @@ def read_fasta_chunks(spark: SparkSession, path: str, multi: bool = False) -> Da
 
 
 def read_fasta(spark: SparkSession, path: str, multi: bool = False) -> DataFrame:
-    """(header, sequence), upper case: the chunks put together, a row for each record. For genomes that fit a row."""
+    """(header, sequence), upper case: the chunks put together, a row for each record in order. For genomes that fit a row."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "sequence"))), lambda x: x["sequence"])
-    return read_fasta_chunks(spark, path, multi).groupBy("record", F.col("genome").alias("header")).agg(F.array_join(ordered, "").alias("sequence")).filter("record >= 0 and (header <> '' or sequence <> '')").select("header", "sequence")
+    return read_fasta_chunks(spark, path, multi).groupBy("record", F.col("genome").alias("header")).agg(F.array_join(ordered, "").alias("sequence")).filter("record >= 0 and (header <> '' or sequence <> '')").orderBy("record").select("header", "sequence")
 
 
 def synthetic_pairs(spark: SparkSession, n: int, length: int, seed: int = 42, exact: bool = False) -> DataFrame:

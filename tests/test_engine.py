@@ -173,6 +173,30 @@ def test_cli(spark, tmp_path, capsys):
         assert cli.main([alg, str(pairs), str(tmp_path / alg), "--repetitions", "1"]) == 0
         assert "VALIDATION_STATUS=PASSED" in capsys.readouterr().out
     assert spark.read.option("header", True).csv(str(tmp_path / "hamming")).columns == sinks.LAYOUTS["hamming"]
+    told = {}
+
+    def run(*args):
+        code = cli.main([*args, "--repetitions", "2"])
+        told.clear()
+        told.update(line.split("=", 1) for line in capsys.readouterr().out.splitlines() if "=" in line)
+        return code
+
+    rows = lambda name: spark.read.option("header", True).csv(str(tmp_path / name)).collect()
+    assert run("nw", str(pairs), str(tmp_path / "v"), "--validated") == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "v")).columns == sinks.LAYOUTS["validated"]
+    assert {r["match_status"] for r in rows("v")} == {"PASSED"} and all(r["score"] == r["reference_score"] for r in rows("v")) and len(rows("v")) == 20
+    assert told["TOTAL_CELLS_COMPUTED"] == str(20 * 17 * 17) and float(told["CELLS_PER_SECOND"]) > 0 and told["OUTPUT_PATH"] == str(tmp_path / "v")
+    assert run("sw", str(pairs), str(tmp_path / "s"), "--summary-only", "--skip-validation") == 0
+    assert {r["metric"]: r["value"] for r in rows("s")} == {"number_of_pairs": "20", "sequence_length_a": "16", "sequence_length_b": "16", "validation_status": "SKIPPED"}
+    assert run("hamming", str(pairs), str(tmp_path / "h"), "--mode", "indexed", "--summary-only") == 0 and not (tmp_path / "h").exists()
+    assert told["UNIQUE_SEQUENCE_COUNT"] == "40" and told["CACHE_HIT_COUNT"] == "0" and told["PAIR_INDEX_BYTES"] == "160" and told["FLAT_PAIR_BYTES"] == "640" and told["TOTAL_BASES_COMPARED"] == "320"
+    assert {"FILE_READ_TIME_MS", "INPUT_VALIDATION_TIME_MS", "DICTIONARY_TIME_MS", "SCORING_TIME_MS", "SCORING_MIN_TIME_MS", "REFERENCE_TIME_MS", "VALIDATION_TIME_MS", "END_TO_END_TIME_MS", "WRITE_RESULTS", "REPETITIONS"} <= set(told)
+    assert run("hamming", str(pairs), str(tmp_path / "h"), "--mode", "encoded", "--summary-only", "--write-results") == 0 and len(rows("h")) == 20 and "ENCODING_TIME_MS" in told
+    lower = tmp_path / "lower.txt"
+    lower.write_text("ACGT acgt\nAC AC\n")
+    assert run("hamming", str(lower), str(tmp_path / "l")) == 2
+    assert (told["VALIDATION_STATUS"], told["FIRST_MISMATCH_PAIR_ID"], told["REFERENCE_SCORE"], told["SCORE"]) == ("FAILED", "0", "0", "4")
+    assert run("hamming", str(lower), str(tmp_path / "l"), "--mode", "indexed") == 1  # two lengths in the dictionary
     assert cli.main(["nw", str(tmp_path / "missing"), "x"]) == 1
     fa = tmp_path / "g.fa"
     fa.write_text(">g\n" + "ACGT" * 30)
@@ -189,6 +213,31 @@ def test_stream(spark, tmp_path):
     assert [r["alignment_score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [5] * 5
 
 
+def test_dictionary_rules(spark):
+    make = lambda *v: spark.createDataFrame([(x,) for x in v], "seq string")
+    va.check_dictionary(make("ACGT", "acgt"))
+    for bad, what in ((make("A", "AC"), "one length"), (make("AN"), "invalid"), (make("AC", "AC").limit(0), "no sequence"), (make(""), "no sequence")):
+        with pytest.raises(ValueError, match=what):
+            va.check_dictionary(bad)
+
+
+def test_sampling_is_a_permutation(spark):
+    for n in (1, 2, 3, 5, 16, 17, 100, 997):
+        wide, high = pairing.permutation_grid(n)
+        assert n <= wide * high < n + max(wide, high)
+        got = spark.range(3).select(pairing.permuted(F.sequence(F.lit(0).cast("bigint"), F.lit(wide * high - 1).cast("bigint")), wide, high, 42, F.col("id")).alias("p")).collect()
+        assert all(sorted(r["p"]) == list(range(wide * high)) for r in got)
+    f = spark.range(60).select(F.col("id").alias("fragment_id"), F.col("id").cast("string").alias("sequence"))
+    every = pairing.sampled(f, 60, 59).pairs.select(F.col("seq_a").cast("int").alias("a"), F.col("seq_b").cast("int").alias("b"))
+    assert every.distinct().count() == 60 * 59 and every.filter("a = b").count() == 0
+    # Each of 59 others is drawn 5 times of 59: a chi-square statistic of 59 degrees of freedom stays under 100.
+    g = spark.range(3000).select(F.col("id").alias("fragment_id"), F.col("id").cast("string").alias("sequence"))
+    tens = pairing.sampled(g, 3000, 20).pairs.groupBy((F.col("seq_b").cast("int") / 50).cast("int").alias("part")).count().collect()
+    assert sum((r["count"] - 1000) ** 2 / 1000 for r in tens) < 100
+    first = pairing.sampled(g, 3000, 1).pairs.groupBy((F.col("seq_b").cast("int") / 50).cast("int").alias("part")).count().collect()
+    assert sum((r["count"] - 50) ** 2 / 50 for r in first) < 100
+
+
 def test_sql_functions(spark):
     al.register_sql(spark)
     r = spark.sql("select nw_score('ACGT','AGT') n, sw_score('ACGT','TTACGTAA') s, hamming('ACGT','ACCT') h").first()
