@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as sq
+from helixframe.functions.tables import register_table_functions
 from helixframe.operators import compare, dictionary, longpair, pairing, reports, scoring
 from helixframe.operators import fragments as fr
 from helixframe.operators import validation as va
+from helixframe.operators.overlap import overlaps
 from helixframe.plans.tables import CTE, MODES_SQL, RUNS_SQL, TIMINGS_SQL, doc_dna, doc_pairs, key_fragments, key_pairs, modes, repeated_pairs, runs, table, timings, with_ctes
 from helixframe.schemas import AffineScoring, Scoring
 from helixframe.sources import readers, sinks
 from helixframe.storage import Store
+from helixframe.streaming import dictionary as streamed
+from helixframe.streaming.scoring import read_pair_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,6 +178,24 @@ def _(s, d):
     return out
 
 
+WIN = "(select doc_id as genome, st as start, st+{0} as \"end\" from (select doc_id, unnest(range(0, length(seq)-{0}+1, {1})) as st from doc_dna where length(seq) >= {0}))"
+
+
+@query("fragment_overlaps", with_ctes("doc_dna") + f"select a.genome, a.start::bigint as start_a, b.start::bigint as start_b, (least(a.\"end\", b.\"end\") - greatest(a.start, b.start))::bigint as shared from {WIN.format(128, 64)} a join {WIN.format(100, 96)} b on a.genome = b.genome and a.start < b.\"end\" and b.start < a.\"end\"")
+def _(s, d):
+    """Windows of one size against windows of another, by the bases that they share."""
+    cut = lambda w, k: fr.fragment(doc_dna(s, d), w, k, genome="doc_id", sequence="seq").select("genome", "start", "end")
+    shared = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
+    return overlaps(cut(128, 64), cut(100, 96)).select("a.genome", F.col("a.start").alias("start_a"), F.col("b.start").alias("start_b"), shared.alias("shared"))
+
+
+@query("fragments_table_function", SQL["fragments"])
+def _(s, d):
+    register_table_functions(s)
+    doc_dna(s, d).createOrReplaceTempView("helix_doc_dna")
+    return s.sql("select doc_id as genome, fragment_id, start, end, fragment as sequence from fragments(TABLE(helix_doc_dna), sequence_column => 'seq', window => 64, stride => 16)")
+
+
 # Text scans -----------------------------------------------------------------------------------------------------------
 
 
@@ -227,6 +249,17 @@ def _(s, d):
     return dictionary.sequences(repeated_pairs(s, d), 500)
 
 
+@query("sequence_dictionary_stream", SQL["sequence_dictionary"])
+def _(s, d):
+    """The dictionary kept by a stream over the pairs' files."""
+    store = Store(s)
+    source, out, mark = (store.folder(x) for x in ("stream-in", "stream-out", "stream-mark"))
+    repeated_pairs(s, d).write.parquet(source)
+    query = streamed.write_dictionary_stream(read_pair_stream(s, source), out, mark)
+    query.awaitTermination()
+    return streamed.read_dictionary(s, out, 500)
+
+
 @query("pair_index", with_ctes("repeated_pairs").rstrip() + f", {_SEQS} select pair_id, a.seq_id::bigint as index_a, b.seq_id::bigint as index_b from repeated_pairs join seqs a on a.seq = seq_a join seqs b on b.seq = seq_b")
 def _(s, d):
     p = repeated_pairs(s, d)
