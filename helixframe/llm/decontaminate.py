@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -45,51 +47,14 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-class Automaton:
-    """Generalised suffix automaton over word numbers."""
+class _Builder:
+    """A suffix automaton under construction: transitions in dicts, dropped once it is laid out flat."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.shortest = window
-        known = set()
-        for _, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            self.shortest = min(self.shortest, len(ids)) if ids else self.shortest
-            known.update(a << 32 | b for a, b in zip(ids, ids[1:]))
-            last = 0
-            for w in ids:
-                last = self._extend(last, w)
-        #: Pairs of neighbouring words that items hold, sorted.
-        self.pairs = np.array(sorted(known), dtype=np.int64)
-        # Windows of each state that are whole windows of items: state -> [(window words, items)].
-        found: dict[tuple[int, int], dict[int, None]] = {}
-        for number, (_, words) in enumerate(items):
-            ids, need = [self.vocabulary[w] for w in words], min(window, len(words))
-            state = length = 0
-            for w in ids:
-                state, length = self.step(state, length, w)
-                if length >= need > 0:
-                    found.setdefault((self._ancestor(state, need), need), {})[number] = None
-        self.own: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-        for (state, need), numbers in found.items():
-            self.own.setdefault(state, []).append((need, tuple(numbers)))
-        self.names = [name for name, _ in items]
-        # What to report at a state: its own windows and those of its suffixes, from short to long.
-        self.report: list[tuple | None] = [None] * len(self.next)
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
-            above = self.report[self.link[state]] if state else None
-            mine = self.own.get(state)
-            self.report[state] = tuple(sorted(mine)) + (above or ()) if mine else above
-
-    def _ancestor(self, state: int, need: int) -> int:
-        while self.length[self.link[state]] >= need if state else False:
-            state = self.link[state]
-        return state
 
-    def _extend(self, last: int, w: int) -> int:
+    def extend(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if w in nxt[last]:
             q = nxt[last][w]
@@ -119,13 +84,69 @@ class Automaton:
             p = link[p]
         return copy
 
+
+class Automaton:
+    """Generalised suffix automaton over word numbers, in flat arrays: some 100 bytes for each word of the items.
+
+    Transitions are sorted by state and word and found by bisection. `own` holds the windows of items, by the state that
+    stands for them; `near` leads from a state to the closest of its suffixes (itself included) that has any.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        self.window = window
+        self.vocabulary: dict[bytes, int] = {}
+        self.shortest = window
+        built, known = _Builder(), set()
+        for _, words in items:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+            self.shortest = min(self.shortest, len(ids)) if ids else self.shortest
+            known.update(a << 32 | b for a, b in zip(ids, ids[1:]))
+            last = 0
+            for w in ids:
+                last = built.extend(last, w)
+        #: Pairs of neighbouring words that items hold, sorted.
+        self.pairs = np.array(sorted(known), dtype=np.int64)
+        count = sum(map(len, built.next))
+        keys = np.fromiter((s << 32 | w for s, t in enumerate(built.next) for w in t), np.int64, count)
+        to = np.fromiter((v for t in built.next for v in t.values()), np.int32, count)
+        order = keys.argsort()
+        self.keys, self.to = array("q", keys[order].tobytes()), array("i", to[order].tobytes())
+        self.link, self.length = array("i", built.link), array("i", built.length)
+        del built
+        found: dict[tuple[int, int, int], None] = {}
+        for number, (_, words) in enumerate(items):
+            need = min(window, len(words))
+            state = length = 0
+            for w in words:
+                state, length = self.step(state, length, self.vocabulary[w])
+                if length >= need > 0:
+                    found[self._ancestor(state, need), need, number] = None
+        flat = np.array(sorted(found), np.int32).reshape(-1, 3)
+        self.first = array("i", np.searchsorted(flat[:, 0], np.arange(len(self.link) + 1)).astype(np.int32).tobytes())
+        self.need, self.number = array("i", flat[:, 1].tobytes()), array("i", flat[:, 2].tobytes())
+        self.names = [name for name, _ in items]
+        self.near = array("i", bytes(4 * len(self.link)))
+        for state in np.argsort(np.array(self.length), kind="stable").tolist()[1:]:
+            self.near[state] = state if self.first[state] < self.first[state + 1] else self.near[self.link[state]]
+
+    def _ancestor(self, state: int, need: int) -> int:
+        while self.length[self.link[state]] >= need if state else False:
+            state = self.link[state]
+        return state
+
+    def target(self, state: int, w: int) -> int:
+        """The state after word w; -1 if no item goes on so."""
+        key = state << 32 | w
+        at = bisect_left(self.keys, key)
+        return self.to[at] if at < len(self.keys) and self.keys[at] == key else -1
+
     def step(self, state: int, length: int, w: int) -> tuple[int, int]:
-        nxt = self.next
-        while state and w not in nxt[state]:
+        to = self.target(state, w) if w >= 0 else -1
+        while to < 0 and state and w >= 0:
             state = self.link[state]
             length = self.length[state]
-        to = nxt[state].get(w)
-        return (to, length + 1) if to is not None else (0, 0)
+            to = self.target(state, w)
+        return (to, length + 1) if to >= 0 else (0, 0)
 
     def stream(self, ids: list[int], at: int) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit spans [start, end) of words from place `at`, and items with an occurring window."""
@@ -134,9 +155,13 @@ class Automaton:
         items: set[int] = set()
         for k, w in enumerate(ids):
             state, length = self.step(state, length, w)
-            for need, numbers in self.report[state] or ():
-                if length >= need:
-                    items.update(numbers)
+            own = self.near[state]
+            while own:
+                for i in range(self.first[own], self.first[own + 1]):
+                    need = self.need[i]
+                    if length < need:
+                        continue
+                    items.add(self.number[i])
                     start, end = at + k + 1 - need, at + k + 1
                     while spans and spans[-1][0] >= start:
                         spans.pop()
@@ -144,6 +169,7 @@ class Automaton:
                         spans[-1] = (spans[-1][0], end)
                     else:
                         spans.append((start, end))
+                own = self.near[self.link[own]]
         return spans, items
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
