@@ -74,15 +74,16 @@ def _views(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return _matrix(a), meta_view(*[t.column(c).to_pylist() for c in ("source", "lang", "n_chars")])
 
 
-def _mapped(table: DataFrame, keep: str, f, added: str) -> DataFrame:
-    """The column `keep` and what f makes of both views; arrays move without passing through Python values."""
+def _mapped(table: DataFrame, keep: list[str], f, added: str) -> DataFrame:
+    """The columns `keep` and what f makes of both views; arrays move without passing through Python values."""
     names = [c.split()[0] for c in added.split(", ")]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(keep), *[pa.array(v, pa.float64()) for v in f(*_views(b))]], names=[keep, *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(v, pa.float64()) for v in f(*_views(b))]], names=[*keep, *names])
 
-    return table.select(*dict.fromkeys([keep, "source", "lang", "n_chars", "a"])).mapInArrow(run, f"{keep} {table.schema[keep].dataType.simpleString()}, {added}")
+    kept = ", ".join(f"{c} {table.schema[c].dataType.simpleString()}" for c in keep)
+    return table.select(*dict.fromkeys([*keep, "source", "lang", "n_chars", "a"])).mapInArrow(run, f"{kept}, {added}")
 
 
 def _evidence(margin: np.ndarray, prior: float) -> np.ndarray:
@@ -90,12 +91,11 @@ def _evidence(margin: np.ndarray, prior: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin - np.log(prior / (1 - prior)), -30, 30)))
 
 
-def _handed(free: DataFrame, store: Store, va: Logistic, vb: Logistic, priors: tuple[float, float], counts: tuple[int, int], speaks: tuple[bool, bool], taken: list[int]) -> tuple[dict[int, float], dict[int, float]]:
-    """Text hashes and labels that view a, and view b, rank first among all unlabelled documents. counts: of labels 1 and 0.
-
-    A text that both views give with different labels goes to neither."""
-    held = free.sparkSession.sparkContext.broadcast((va, vb))
-    scored = _mapped(free, "t", lambda a, b: [_evidence(v.margin(x), p) for v, x, p in zip(held.value, (a, b), priors)], "p double, q double")
+def _handed(table: DataFrame, marked: DataFrame, store: Store, va: Logistic, vb: Logistic, priors: tuple[float, float], counts: tuple[int, int], speaks: tuple[bool, bool], taken: list[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Text hashes and labels that view a, and view b, rank first among all documents whose id is not in `marked`. counts: of
+    labels 1 and 0. Labelled rows go out after scoring, so that features are never shuffled. A text that both views give with different labels goes to neither."""
+    held = table.sparkSession.sparkContext.broadcast((va, vb))
+    scored = _mapped(table, ["id", "t"], lambda a, b: [_evidence(v.margin(x), p) for v, x, p in zip(held.value, (a, b), priors)], "p double, q double").join(marked, "id", "left_anti")
     stored = store.put(scored.groupBy("t").agg(F.max("p").alias("p"), F.max("q").alias("q")), "scored")  # equal texts once
     scored = stored.filter(~F.col("t").isin(taken)) if taken else stored
     out: list[dict[int, float]] = []
@@ -139,7 +139,7 @@ def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "d
     share = float(y.mean())
     xa, xb, ya, yb = a[~held], b[~held], y[~held], y[~held]
     va, vb = fit(xa, ya), fit(xb, yb)
-    free = table.join(marks.select("id").distinct(), "id", "left_anti")
+    marked = marks.select("id").distinct()
     c = held if 0 < y[held].sum() < held.sum() else ~held
     informs = lambda: (auc(va.margin(a[c]), y[c]) >= LEAST_AUC, auc(vb.margin(b[c]), y[c]) >= LEAST_AUC)
     pairs = round(HANDED * len(ya) * share), round(HANDED * len(ya) * (1 - share))
@@ -147,14 +147,14 @@ def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "d
     exchange: list[dict] = []
     for _ in range(rounds):
         speaks = informs()
-        from_a, from_b = _handed(free, store, va, vb, (float(ya.mean()), float(yb.mean())), pairs, speaks, taken)
+        from_a, from_b = _handed(table, marked, store, va, vb, (float(ya.mean()), float(yb.mean())), pairs, speaks, taken)
         exchange.append({"from_text": len(from_a), "from_meta": len(from_b), "text_informs": speaks[0], "meta_informs": speaks[1]})
         if not from_a and not from_b:
             break
         both = from_a | from_b
         taken += sorted(both)
-        wanted = F.broadcast(free.sparkSession.createDataFrame([(k,) for k in sorted(both)], "t bigint"))
-        rows = free.join(wanted, "t").groupBy("t").agg(*[F.min_by(x, F.struct("source", "lang", "n_chars")).alias(x) for x in ("source", "lang", "n_chars", "a")]).toArrow()
+        wanted = F.broadcast(table.sparkSession.createDataFrame([(k,) for k in sorted(both)], "t bigint"))
+        rows = table.join(wanted, "t").join(marked, "id", "left_anti").groupBy("t").agg(*[F.min_by(x, F.struct("source", "lang", "n_chars")).alias(x) for x in ("source", "lang", "n_chars", "a")]).toArrow()
         pa_, pb_ = _views(rows)
         t = rows.column("t").to_pylist()
         for mine, giver in ((True, from_a), (False, from_b)):
@@ -183,7 +183,7 @@ def combine(a: np.ndarray, b: np.ndarray, model: dict) -> tuple[np.ndarray, np.n
 def score(table: DataFrame, model: dict) -> DataFrame:
     """(id, text_score, meta_score, score, keep, text_informs, meta_informs) of every row of features."""
     held = table.sparkSession.sparkContext.broadcast(model)
-    out = _mapped(table, "id", lambda a, b: combine(a, b, held.value), "text_score double, meta_score double, score double")
+    out = _mapped(table, ["id"], lambda a, b: combine(a, b, held.value), "text_score double, meta_score double, score double")
     text, meta = model.get("informs", (False, False))
     return out.withColumns({"keep": F.col("score") >= 0.5, "text_informs": F.lit(bool(text)), "meta_informs": F.lit(bool(meta))})
 

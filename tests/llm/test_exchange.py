@@ -72,8 +72,11 @@ def test_exchange_equals_plain_ranking(spark):
     want = [plain(p, q), plain(q, p)]
     unlike = {k for k in want[0].keys() & want[1].keys() if want[0][k] != want[1][k]}
     want = tuple({k: v for k, v in w.items() if k not in unlike} for w in want)
-    assert quality._handed(table, store, va, vb, (0.4, 0.6), (17, 9), (True, True), taken) == want and want[0] and want[1]
-    assert quality._handed(table, store, va, vb, (0.4, 0.6), (17, 9), (True, False), taken)[1] == {}
+    none = table.select("id").limit(0)
+    assert quality._handed(table, none, store, va, vb, (0.4, 0.6), (17, 9), (True, True), taken) == want and want[0] and want[1]
+    assert quality._handed(table, none, store, va, vb, (0.4, 0.6), (17, 9), (True, False), taken)[1] == {}
+    every = quality._handed(table, table.select("id").distinct(), store, va, vb, (0.4, 0.6), (17, 9), (True, True), [])
+    assert every == ({}, {})
 
 
 HOSTILE = [
