@@ -154,7 +154,8 @@ def train(table: DataFrame, labels: DataFrame, store: Store, *, doc_id: str = "d
         both = from_a | from_b
         taken += sorted(both)
         wanted = F.broadcast(table.sparkSession.createDataFrame([(k,) for k in sorted(both)], "t bigint"))
-        rows = table.join(wanted, "t").join(marked, "id", "left_anti").groupBy("t").agg(*[F.min_by(x, F.struct("source", "lang", "n_chars")).alias(x) for x in ("source", "lang", "n_chars", "a")]).toArrow()
+        given = store.put(table.join(wanted, "t"), "given")  # stored, or the anti join would move below and shuffle all features
+        rows = given.join(marked, "id", "left_anti").groupBy("t").agg(*[F.min_by(x, F.struct("source", "lang", "n_chars")).alias(x) for x in ("source", "lang", "n_chars", "a")]).toArrow()
         pa_, pb_ = _views(rows)
         t = rows.column("t").to_pylist()
         for mine, giver in ((True, from_a), (False, from_b)):
