@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at . ! ? or a line break. A run of at least SENTENCES sentences and MIN_WORDS words, or of LONG_WORDS words
-in fewer, is long enough. Spans are the shortest such runs from every sentence on and up to every sentence; each longer run
-is covered by them, and repeats where they do. Spans are hashed (128 bits, over lower-cased words), and a span that occurs
+Sentences end at . ! ? or a line break. Every run of SENTENCES sentences or more counts, however short they are; so does one of
+LONG_WORDS words in fewer (None: it does not). A caller may ask for MIN_WORDS words in a run besides. Spans are the shortest such
+runs from every sentence on and up to every sentence; each longer run is covered by them, and repeats where they do. Spans are hashed (128 bits, over lower-cased words), and a span that occurs
 more than once anywhere repeats. Every sentence that lies in an occurrence other than the first one goes.
 
 First: smallest doc_id, null ids last, then row key and place. Null and empty texts have no sentences and stay. Rows
@@ -25,7 +25,7 @@ from helixframe.llm.store import Store
 from helixframe.llm.text import annotate
 
 SENTENCES = 3
-MIN_WORDS = 20
+MIN_WORDS = 0
 LONG_WORDS = 40
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 
@@ -35,13 +35,13 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text or "") if not m.group().isspace()]
 
 
-def spans(text: str | None) -> Iterator[tuple[int, int, bytes]]:
+def spans(text: str | None, least: int = SENTENCES, min_words: int = MIN_WORDS, long_words: int | None = LONG_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, one past the last, 128-bit digest)."""
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     digest = [xxhash.xxh3_64_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
     total = np.concatenate(([0], np.cumsum([len(w) for w in words]))).tolist()
     n = len(words)
-    enough = lambda i, e: (e - i >= SENTENCES and total[e] - total[i] >= MIN_WORDS) or total[e] - total[i] >= LONG_WORDS
+    enough = lambda i, e: (e - i >= least and total[e] - total[i] >= min_words) or (long_words is not None and total[e] - total[i] >= long_words)
     forward = []  # shortest run from each sentence, as far as there is one
     j = 0
     for i in range(n):
@@ -61,8 +61,8 @@ def spans(text: str | None) -> Iterator[tuple[int, int, bytes]]:
         yield i, j, xxhash.xxh3_128_digest(b"".join(digest[i:j]))
 
 
-def repeated_spans(docs: DataFrame, store: Store, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, spans): sentence ranges of each row that are non-first occurrences."""
+def repeated_spans(docs: DataFrame, store: Store, *, doc_id: str = "doc_id", text: str = "text", **bounds: int | None) -> DataFrame:
+    """(k1, k2, spans): sentence ranges of each row that are non-first occurrences. `bounds`: of a run, see `spans`."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.col(text).alias("text"))
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -70,7 +70,7 @@ def repeated_spans(docs: DataFrame, store: Store, *, doc_id: str = "doc_id", tex
         for b in batches:
             row, start, end, raw = [], [], [], []
             for i, t in enumerate(b.column(3).to_pylist()):
-                for s, e, d in spans(t):
+                for s, e, d in spans(t, **bounds):
                     row.append(i)
                     start.append(s)
                     end.append(e)
@@ -109,10 +109,10 @@ def remove(text: str | None, gone: list | None) -> tuple[str | None, int, int]:
     return "".join(out).strip(), len(own), int(hit.sum())
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`row` (the document), deduplicated, n_sentences, n_removed."""
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **bounds: int | None) -> DataFrame:
+    """`row` (the document), deduplicated, n_sentences, n_removed. `bounds`: least, min_words, long_words of a run, see `spans`."""
     store = Store(docs.sparkSession)
-    gone = repeated_spans(docs, store, doc_id=doc_id, text=text)
+    gone = repeated_spans(docs, store, doc_id=doc_id, text=text, **bounds)
     joined = packed(docs, doc_id, text).join(gone, ["k1", "k2"], "left").select("row", F.col(f"row.{text}").alias("t"), "spans")
 
     def f(texts: list, removed: list) -> list[pa.Array]:

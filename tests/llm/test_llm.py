@@ -601,10 +601,12 @@ def test_sentence_spans_equal_brute_force(spark, edge, empty):
     assert sentences.dedup(edge).count() == edge.count() and sentences.dedup(empty).count() == 0
 
 
-def test_no_sentence_of_a_repeated_run_stays(spark):
+@pytest.mark.parametrize("bounds", [{}, {"min_words": 20}, {"long_words": None}, {"least": 2, "min_words": 12, "long_words": 25}])
+def test_no_sentence_of_a_repeated_run_stays(spark, bounds):
+    least, fewest, long = (bounds.get(k, v) for k, v in (("least", 3), ("min_words", 0), ("long_words", 40)))
     r = random.Random(17)
     docs = []
-    lengths = [[41, 30], [40, 39], [25, 25, 5], [5, 25, 25], [30, 41], [6, 7, 8, 2, 39]] + [[r.randrange(1, 31) for _ in range(r.randrange(2, 7))] for _ in range(40)]
+    lengths = [[41, 30], [40, 39], [25, 25, 5], [5, 25, 25], [30, 41], [6, 7, 8, 2, 39], [1, 1, 1], [2, 1, 1, 1]] + [[r.randrange(1, 31) for _ in range(r.randrange(2, 7))] for _ in range(40)]
     for k, ns in enumerate(lengths):
         run = [sentence(r, n) + "." for n in ns]
         for i in (2 * k, 2 * k + 1):
@@ -615,10 +617,10 @@ def test_no_sentence_of_a_repeated_run_stays(spark):
         for a in range(len(s)):
             for b in range(a + 1, len(s) + 1):
                 words = sum(map(len, s[a:b]))
-                if (b - a >= 3 and words >= 20) or words >= 40:
+                if (b - a >= least and words >= fewest) or (long is not None and words >= long):
                     if seen.setdefault(tuple(s[a:b]), (i, a)) != (i, a):
                         want[i] |= set(range(a, b))
-    got = {x["doc_id"]: x["t"] for x in sentences.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).select("row.doc_id", F.col("deduplicated").alias("t")).collect()}
+    got = {x["doc_id"]: x["t"] for x in sentences.dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), **bounds).select("row.doc_id", F.col("deduplicated").alias("t")).collect()}
     assert {i: [tuple(x.split()) for x in t.split(".") if x.strip()] for i, t in got.items()} == {i: [x for n, x in enumerate(s) if n not in want[i]] for i, s in own.items()}
 
 
