@@ -211,7 +211,7 @@ def test_grams_do_not_cross_texts():
 def test_language_model_equals_counts(spark, monkeypatch):
     """Naive Bayes by hand: n-grams as text, one counter each, on a model wide enough for no collisions."""
     rows = [(i, "aab ab" if i % 2 else "xyx  yy!", "aa" if i % 2 else "xx") for i in range(10)] + [(20, "aab ab", None), (21, None, "aa")]
-    langs, log_p = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), dims=1 << 18)
+    [(langs, log_p)] = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), dims=1 << 18).blocks()
 
     def grams(t):
         sym, out = [], []
@@ -233,9 +233,38 @@ def test_language_model_equals_counts(spark, monkeypatch):
         n = sum(count[k].values())
         want = sorted(np.log((c + 0.5) / (n + 0.5 * (1 << 18))) for c in count[k].values())
         assert np.allclose(sorted(row[row > row.min()]), want, atol=1e-4)
-    monkeypatch.setattr(langid, "MAX_LANGS", 1)
-    with pytest.raises(ValueError, match="languages"):
-        langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+
+
+def test_blocks_of_languages_change_nothing(spark, edge, empty, monkeypatch):
+    """Blocks of few languages against one matrix, whose predictions are worked out here once more from the model's rows."""
+    r = random.Random(23)
+    alphabet = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    styles = {f"l{k:02}": [r.choice(alphabet) for _ in range(9)] for k in range(23)}
+    write = lambda g, n: " ".join("".join(r.choice(styles[g]) for _ in range(r.randrange(2, 7))) for _ in range(n))
+    rows = [(10 * i + j, write(g, 30), g) for i, g in enumerate(styles) for j in range(4)] + [(900, "", "l99")]  # of l99 nothing is learned
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts = [write(r.choice(sorted(styles)), r.randrange(1, 6)) for _ in range(40)] + ["a", "a a", "7 !", "", None, write("l03", 9000)]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns({"name": F.lit("x"), "top": F.lit(1), "row": F.lit(2), "lang_pred": F.lit("y")})
+    of = lambda df: {x["doc_id"]: (x["p"], x["score"], x["top"]) for x in df.select("row.doc_id", F.col("lang_pred").alias("p"), "score", "row.top").collect()}
+    model = langid.train(labelled)
+    [(langs, log_p)] = model.blocks()
+    assert langs == sorted([*styles, "l99"])
+    one = of(langid.predict(asked, model))
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert one[i] == ("und", 0.0, 1)
+            continue
+        places = np.concatenate([number for number, _ in langid.Grams([t]).orders(langid.DIMS)])
+        logs = log_p[:, places].astype(float).sum(axis=1)
+        z = (logs - logs.max()) * min(0.25, 400 / len(places))
+        assert one[i][0] == langs[int(logs.argmax())] and one[i][1] == pytest.approx(1 / np.exp(z).sum(), rel=1e-6)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    model = langid.train(labelled)
+    assert len(list(model.blocks())) > 1 and sorted(g for gs, _ in model.blocks() for g in gs) == langs
+    many = of(langid.predict(asked, model))
+    assert {i: v[0] for i, v in many.items()} == {i: v[0] for i, v in one.items()}
+    assert all(many[i][1] == pytest.approx(one[i][1], rel=1e-9) and many[i][2] == 1 for i in one)
+    assert langid.predict(edge, model).count() == edge.count() and langid.predict(empty, model).count() == 0
 
 
 # Lines ----------------------------------------------------------------------------------------------------------------
