@@ -35,13 +35,12 @@ REPS = 4
 #: Rounds of representatives go on while more than this many pairs a member are left and each takes a quarter of them, at most MAX_ROUNDS times.
 PAIRS = 2
 MAX_ROUNDS = 8
-GROUP = 8
+#: Shingles of one line whose minima are taken in one row.
+GROUP = 16
 #: Longs of a bitmap. Shingle sets of some hundred elements leave most of its 1024 bits unflipped, so it tells apart pairs just below the threshold.
 WORDS = 16
 _SHORT = rf"^.{{1,{SHINGLE - 1}}}(?!.)"
 _PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|{_SHORT}))."
-#: GROUP shingles in a row as one piece of text.
-_WINDOWS = rf"(?s)(?=(.{{{SHINGLE},{SHINGLE + GROUP - 1}}}|{_SHORT})).{{1,{GROUP}}}"
 
 
 def shingles(line: Column) -> Column:
@@ -66,12 +65,15 @@ def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
     """(key, n, bands): distinct lines, how often they occur, and their band hashes. Partial minima of a line are formed
-    where it is read, so only they move. GROUP shingles are one row, whose least values update the minima once."""
+    where it is read, so only they move. In UTF-32 every character has four bytes, so a shingle is a slice at a known
+    place, whatever the length of its line. GROUP shingles are one row, whose least values update the minima once."""
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).filter(F.col("line").rlike(r"\S"))
-    rows = lines.select(F.xxhash64("line").alias("key"), F.posexplode(F.regexp_extract_all("line", F.lit(_WINDOWS), F.lit(1))).alias("i", "w"))
-    rows = rows.select("key", "i", "w", F.greatest(F.length("w") - SHINGLE, F.lit(0)).alias("last"))
+    rows = lines.select(F.xxhash64("line").alias("key"), F.encode("line", "UTF-32").alias("wide"))
+    rows = rows.select("key", "wide", F.greatest(F.expr("cast(length(wide) / 4 as int)") - SHINGLE, F.lit(0)).alias("last"))
+    rows = rows.select("key", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(GROUP))).alias("i"))
     h = [f"h{g}" for g in range(GROUP)]  # past the end the last shingle is repeated, which changes no minimum
-    s = rows.select("key", "i", *[F.xxhash64(F.substring(F.col("w"), F.least(F.lit(g), "last") + 1, F.lit(SHINGLE))).alias(c) for g, c in enumerate(h)])
+    at = [F.least(F.col("i") + g, "last") * 4 + 1 for g in range(GROUP)]
+    s = rows.select("key", "i", *[F.xxhash64(F.substring(F.col("wide"), x, F.lit(4 * SHINGLE))).alias(c) for x, c in zip(at, h)])
     least = [F.min(F.least(*[F.col(c).bitwiseXOR(F.lit(permutation(i))) for c in h])).alias(f"m{i}") for i in range(BANDS * ROWS)]
     minima = s.groupBy("key").agg(F.count_if(F.col("i") == 0).alias("n"), *least)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]

@@ -332,6 +332,22 @@ def test_lines_are_native_and_survive_edges(spark, edge, empty):
     assert lines.dedup_documents(empty).count() == 0
 
 
+def test_signatures_take_every_shingle_of_a_line(spark):
+    r = random.Random(17)
+    texts = [sentence(r, 40), "short", "12345678", "123456789", "".join(chr(r.choice([0x4E00, 0x1F600, 0xE9, 0x61]) + r.randrange(20)) for _ in range(95))]
+    texts += ["".join(r.choice("abcdef ") for _ in range(n)) for n in (lines.SHINGLE + lines.GROUP - 1, lines.SHINGLE + lines.GROUP, lines.SHINGLE + 2 * lines.GROUP)]
+    got = {tuple(x["bands"]) for x in lines.signatures(spark.createDataFrame([("\n".join(texts),)], "text string"), "text").collect()}
+    shingled = [(k, t[i : i + 8]) for k, t in enumerate(texts) for i in range(max(1, len(t) - 7))]
+    hashed = spark.createDataFrame(shingled, "k int, s string").withColumn("h", F.xxhash64(F.encode("s", "UTF-32"))).collect()
+    want = set()
+    for k in range(len(texts)):
+        least = [min(x["h"] ^ lines.permutation(i) for x in hashed if x["k"] == k) for i in range(lines.BANDS * lines.ROWS)]
+        bands = spark.createDataFrame([(b, *least[b * lines.ROWS : (b + 1) * lines.ROWS]) for b in range(lines.BANDS)], "b int, " + ", ".join(f"m{i} bigint" for i in range(lines.ROWS)))
+        want.add(tuple(x["v"] for x in bands.orderBy("b").select(F.xxhash64("b", *[f"m{i}" for i in range(lines.ROWS)]).alias("v")).collect()))
+    assert got == want and len(got) == len(texts)
+    assert lines.signatures(spark.createDataFrame([(texts[0] * 4_000,)], "text string"), "text").count() == 1  # a line of a million characters
+
+
 def test_bitmaps_never_rule_out_a_pair(spark):
     r = random.Random(8)
     texts = [sentence(r, r.choice([1, 2, 10, 60, 200])) for _ in range(25)]
