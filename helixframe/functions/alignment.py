@@ -1,7 +1,7 @@
 """Needleman-Wunsch and Smith-Waterman scores.
 
-Two independent code paths: a numpy kernel inside a pandas UDF (default), and a pure SQL form of nested
-higher-order functions that serves as the validator.
+Three independent code paths: a numpy kernel by rows inside a pandas UDF (default), one by anti-diagonals that serves as the
+validator at any size, and a pure SQL form of nested higher-order functions, which costs milliseconds a pair.
 
 The kernel takes many pairs at once and loops over rows of the score matrix only. It holds H[j] - gap * j in place of H[j]:
 a left move then adds nothing, so a row is the running maximum of its diagonal and upper moves, and the shift is undone
@@ -20,8 +20,8 @@ from helixframe.schemas import Scoring
 
 #: Names that select a code path; the physical variants all give the same integers.
 IMPLEMENTATIONS = {
-    "rolling": "kernel", "full": "sql", "baseline": "kernel", "wavefront": "kernel",
-    "global_matrix": "sql", "rolling_diagonal": "kernel", "tiled_wavefront": "kernel",
+    "rolling": "kernel", "full": "diagonals", "baseline": "kernel", "wavefront": "kernel",
+    "global_matrix": "diagonals", "rolling_diagonal": "kernel", "tiled_wavefront": "kernel", "sql": "sql",
 }
 #: Cells of one score-matrix row over all pairs of a slab, at most (a single longer pair is a slab of its own).
 KERNEL_CELLS = 1 << 16
@@ -78,6 +78,46 @@ def align_batch(a: list[str], b: list[str], local: bool, scoring: Scoring = Scor
     return score
 
 
+def diagonal_batch(a: list[str], b: list[str], local: bool, scoring: Scoring = Scoring()) -> np.ndarray:
+    """As align_batch, cell by cell from the three cells before it, over all cells of an anti-diagonal at once.
+
+    Place i of diagonal k is cell (i, k - i). Cells past a pair's own end are computed and ignored.
+    """
+    if not a:
+        return np.zeros(0, dtype=np.int64)
+    xs, la = _codes(a, -1)
+    ys, lb = _codes(b, -2)
+    n, m, s, own = xs.shape[1], ys.shape[1], scoring, np.arange(len(a))
+    reach = (n + m + 2) * max(map(abs, (s.match, s.mismatch, s.gap)))
+    kind = np.int16 if reach < 2**15 and max(xs.max(initial=0), ys.max(initial=0)) < 2**15 else np.int32 if reach < 2**31 else np.int64
+    code = np.int16 if kind is np.int16 else np.int32
+    xs, ys = np.ascontiguousarray(xs.T.astype(code)), np.ascontiguousarray(ys.T[::-1].astype(code))
+    before, last, cur = (np.zeros((n + 1, len(a)), kind) for _ in range(3))
+    score, top = np.zeros(len(a), np.int64), np.zeros(len(a), kind)
+    beyond = max(s.mismatch, s.gap) > 0  # only then can a cell past the end exceed all before it
+    ends = np.bincount(la + lb, minlength=n + m + 1)
+    for k in range(1, n + m + 1):
+        before, last, cur = last, cur, before
+        low, high = max(1, k - m), min(n, k - 1) + 1
+        if low < high:
+            inner = cur[low:high]
+            inner[:] = np.where(xs[low - 1 : high - 1] == ys[m - k + low : m - k + high], kind(s.match), kind(s.mismatch))
+            inner += before[low - 1 : high - 1]
+            np.maximum(inner, np.maximum(last[low - 1 : high - 1], last[low:high]) + kind(s.gap), out=inner)
+            if local:
+                np.maximum(inner, 0, out=inner)
+                i = np.arange(low, high)[:, None]
+                np.maximum(top, (np.where((i <= la) & (k - i <= lb), inner, 0) if beyond else inner).max(axis=0), out=top)
+        if k <= m:
+            cur[0] = 0 if local else k * s.gap
+        if k <= n:
+            cur[k] = 0 if local else k * s.gap
+        if ends[k] and not local:
+            done = np.flatnonzero(la + lb == k)
+            score[done] = cur[la[done], own[done]]
+    return top.astype(np.int64) if local else score
+
+
 def align_series(a: pd.Series, b: pd.Series, local: bool, scoring, batch=align_batch) -> pd.Series:
     """Scores with nulls kept; pairs go in order of length so that a slab holds pairs of like size. `batch` scores a slab."""
     ok = (a.notna() & b.notna()).to_numpy()
@@ -105,6 +145,15 @@ def _udf(local: bool, scoring: Scoring):
     return score
 
 
+def _diagonal_udf(local: bool, scoring: Scoring):
+    @F.pandas_udf("bigint")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        swap = np.array([x is not None and y is not None and len(x) > len(y) for x, y in zip(a, b)], bool)  # scores are symmetric; diagonals are as long as the shorter side
+        return align_series(b.where(swap, a), a.where(swap, b), local, scoring, diagonal_batch)
+
+    return score
+
+
 def _sql_form(a: Column, b: Column, local: bool, s: Scoring) -> Column:
     """By anti-diagonals: a cell needs only the two before, so that a diagonal is one transform. Place i of diagonal k is cell (i, k - i)."""
     low, n, m = F.lit(-(1 << 30)), F.length(a), F.length(b)
@@ -133,7 +182,8 @@ def _score(a: Column, b: Column, local: bool, scoring: Scoring | None, implement
     if implementation not in IMPLEMENTATIONS:
         raise ValueError(f"unknown implementation: {implementation}; one of {', '.join(IMPLEMENTATIONS)}")
     s = scoring or Scoring()
-    return _sql_form(a, b, local, s) if IMPLEMENTATIONS[implementation] == "sql" else _udf(local, s)(a, b)
+    path = IMPLEMENTATIONS[implementation]
+    return _sql_form(a, b, local, s) if path == "sql" else (_udf if path == "kernel" else _diagonal_udf)(local, s)(a, b)
 
 
 def needleman_wunsch(a: Column, b: Column, scoring: Scoring | None = None, implementation: str = "rolling") -> Column:

@@ -13,7 +13,7 @@ from helixframe.operators import compare, dictionary, longpair, pairing, reports
 from helixframe.operators import fragments as fr
 from helixframe.operators import validation as va
 from helixframe.operators.overlap import overlaps
-from helixframe.plans.tables import CTE, MODES_SQL, RUNS_SQL, TIMINGS_SQL, doc_dna, doc_pairs, key_fragments, key_pairs, modes, repeated_pairs, runs, table, timings, with_ctes
+from helixframe.plans.tables import CTE, MODES_SQL, RUNS_SQL, TIMINGS_SQL, doc_dna, doc_pairs, key_fragments, key_pairs, modes, repeated_pairs, runs, spread, table, timings, with_ctes
 from helixframe.schemas import AffineScoring, Scoring
 from helixframe.sources import readers, sinks
 from helixframe.storage import Store
@@ -300,7 +300,7 @@ def align_sql(source: str, local: bool, m: int = 2, x: int = -1, g: int = -2) ->
 
 
 def _customers(s, d):
-    return key_pairs(s, d, "customer", "c_custkey")
+    return spread(key_pairs(s, d, "customer", "c_custkey"))
 
 
 CUSTOM = Scoring(1, -2, -1)
@@ -358,7 +358,7 @@ def _(s, d):
 
 @query("nw_banded", f"select pair_id, alignment_score, true as proven from ({align_sql('repeated_pairs', False)})")
 def _(s, d):
-    out = scoring.align_banded(repeated_pairs(s, d), width=4)
+    out = scoring.align_banded(spread(repeated_pairs(s, d)), width=4)
     return out.select("pair_id", "alignment_score", (F.col("band_width") >= 4).alias("proven"))
 
 

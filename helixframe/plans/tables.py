@@ -30,6 +30,11 @@ def key_pairs(spark: SparkSession, d: str, name: str = "part", key: str = "p_par
     return table(spark, d, name).select(k.alias("pair_id"), hashed_dna(k).alias("seq_a"), hashed_dna(F.concat(F.lit("b"), k.cast("string"))).alias("seq_b"))
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out by id over all cores: a table of keys is a small file, and so one task, but each pair is costly to align."""
+    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "pair_id")
+
+
 def repeated_pairs(spark: SparkSession, d: str) -> DataFrame:
     """32-base pairs that share sequences, for the dictionary."""
     k = F.col("p_partkey")

@@ -65,6 +65,26 @@ def test_bands_save_cells():
     assert score == al.align_batch([a], [b], False)[0] and cells < 0.05 * 2001 * 2001 and band == 16
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT), min_size=1, max_size=6), SCORES)
+def test_diagonals_equal_rows(pairs, s):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    for local in (False, True):
+        assert al.diagonal_batch(a, b, local, s).tolist() == al.align_batch(a, b, local, s).tolist()
+
+
+def test_three_forms_agree(spark):
+    r = random.Random(5)
+    draw = lambda: "".join(r.choice("ACGT") for _ in range(r.randint(0, 40)))
+    rows = [(i, draw(), draw()) for i in range(200)] + [(200, None, "A"), (201, "A", None), (202, "ACGT" * 3, "é😀")]
+    df = spark.createDataFrame(rows, PAIR)
+    for alg in ("nw", "sw"):
+        got = [sorted(map(tuple, scoring.align(df, alg, implementation=i).collect())) for i in ("rolling", "full", "sql")]
+        assert got[0] == got[1] == got[2]
+    assert scoring.align(df.limit(0), implementation="full").count() == 0
+    assert "lambda" not in scoring.align(df, implementation="full")._jdf.queryExecution().optimizedPlan().toString()  # so it costs microseconds a pair
+
+
 def replayed(a, b, runs, s):
     i = j = score = 0
     for op, n in runs:
