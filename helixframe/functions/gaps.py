@@ -5,9 +5,11 @@ All of them keep a row of the score matrix at a time and resolve the moves along
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-from helixframe.functions.alignment import _codes
+from helixframe.functions.alignment import KERNEL_CELLS, _codes
 from helixframe.schemas import AffineScoring, Scoring
 
 #: Far below any score, and far from the end of 64 bits.
@@ -82,6 +84,51 @@ def tile(a: np.ndarray, b: np.ndarray, top: np.ndarray, left: np.ndarray, s: Sco
     return prev + step, right, best
 
 
+def tile_batch(a: list[np.ndarray], b: list[np.ndarray], tops: list[np.ndarray], lefts: list[np.ndarray], s: Scoring, local: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """`tile` of many tiles, none without letters. Cells past a tile's own end are computed and ignored."""
+    la, lb = (np.array([len(x) for x in side]) for side in (a, b))
+    xs, ys, left, prev = _padded(a, la, -1), _padded(b, lb, -2), _padded(lefts, la, 0), _padded(tops, lb + 1, 0)
+    step, own = np.arange(ys.shape[1] + 1, dtype=np.int64) * s.gap, np.arange(len(a))
+    prev -= step
+    bottom, right, best = np.empty_like(prev), np.empty_like(left), np.zeros(len(a), np.int64)
+    same, other = s.match - s.gap, s.mismatch - s.gap
+    inside = np.arange(1, ys.shape[1] + 1) <= lb[:, None]
+    for i in range(xs.shape[1]):
+        cur = np.empty_like(prev)
+        cur[:, 0] = left[:, i]
+        np.maximum(np.where(ys == xs[:, i, None], same, other) + prev[:, :-1], prev[:, 1:] + s.gap, out=cur[:, 1:])
+        if local:
+            np.maximum(cur[:, 1:], -step[1:], out=cur[:, 1:])
+        np.maximum.accumulate(cur, axis=1, out=cur)
+        prev = cur
+        right[:, i] = cur[own, lb] + step[lb]
+        if local:
+            np.maximum(best, np.where(inside & (i < la)[:, None], cur[:, 1:] + step[1:], 0).max(axis=1), out=best)
+        done = la == i + 1
+        bottom[done] = cur[done] + step
+    return [x[: n + 1] for x, n in zip(bottom, lb)], [x[:n] for x, n in zip(right, la)], best
+
+
+def _padded(rows: list[np.ndarray], lengths: np.ndarray, pad: int) -> np.ndarray:
+    out = np.full((len(rows), int(lengths.max(initial=0))), pad, np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.concatenate(rows)
+    return out
+
+
+def slabs(width: np.ndarray, height: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of matrices of like width, wide ones last, few enough that a row and a column of all of them are small."""
+    order = np.lexsort((height, width))
+    width, height = width[order], height[order]
+    i = 0
+    while i < len(order):
+        limit = 2 * int(width[i]) + 16
+        j = min(i + max(1, KERNEL_CELLS // limit), int(np.searchsorted(width, limit, "right")))
+        while j - i > 1 and (j - i) * int(height[i:j].max()) > 4 * KERNEL_CELLS:
+            j = i + (j - i) // 2
+        yield order[i:j]
+        i = j
+
+
 def _last_row(a: np.ndarray, b: np.ndarray, s: Scoring) -> np.ndarray:
     top = np.arange(len(b) + 1, dtype=np.int64) * s.gap
     return tile(a, b, top, np.arange(1, len(a) + 1, dtype=np.int64) * s.gap, s, False)[0]
@@ -132,27 +179,117 @@ def cigar(a: str, b: str, s: Scoring) -> str:
     return "".join(f"{n}{op}" for op, n in operations(codes(a), codes(b), s))
 
 
-def _band_score(a: np.ndarray, b: np.ndarray, width: int, s: Scoring) -> tuple[int, int]:
-    """(best score of alignments that stay within `width` of the diagonal, cells computed); len(a) <= len(b)."""
-    n, m = len(a), len(b)
+def _last_rows(a: np.ndarray, at: np.ndarray, n: np.ndarray, b: np.ndarray, bt: np.ndarray, m: np.ndarray, turn: int, s: Scoring) -> np.ndarray:
+    """Last rows of the score matrices of a[at : at + n] and b[bt : bt + m], or with turn -1 of a[at], a[at - 1], ... and so on."""
+    own, wide = np.arange(len(n)), np.arange(int(m.max()))
+    ys = b[np.clip(bt[:, None] + turn * wide, 0, len(b) - 1)]  # letters past an end change no cell before it
+    prev = np.zeros((len(n), len(wide) + 1), np.int64)
+    out = np.empty_like(prev)
+    same, other = s.match - s.gap, s.mismatch - s.gap
+    for i in range(int(n.max())):
+        xs = a[np.clip(at + turn * i, 0, len(a) - 1)]
+        cur = np.empty_like(prev)
+        cur[:, 0] = (i + 1) * s.gap
+        np.maximum(np.where(ys == xs[:, None], same, other) + prev[:, :-1], prev[:, 1:] + s.gap, out=cur[:, 1:])
+        np.maximum.accumulate(cur, axis=1, out=cur)
+        prev = cur
+        done = n == i + 1
+        out[done] = cur[done]
+    return out + np.arange(len(wide) + 1) * s.gap
+
+
+def cigars(a: list[str], b: list[str], s: Scoring) -> list[str]:
+    """`cigar` of many pairs: the parts of all of them are halved together, a level at a time."""
+    out: list[str] = []
+    i = 0
+    while i < len(a):
+        letters, j = len(a[i]) + len(b[i]), i + 1
+        while j < len(a) and letters + len(a[j]) + len(b[j]) <= 4 * KERNEL_CELLS:
+            letters += len(a[j]) + len(b[j])
+            j += 1
+        out += _cigars(a[i:j], b[i:j], s)
+        i = j
+    return out
+
+
+def _cigars(a: list[str], b: list[str], s: Scoring) -> list[str]:
+    la, lb = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    x, y = codes("".join(a)), codes("".join(b))
+    j, m = la.cumsum(), lb.cumsum()
+    parts = np.stack((np.arange(len(a)), j - la, j, m - lb, m))  # pair, from and to in x, from and to in y
+    leaves = []
+    while parts.shape[1]:
+        _, i, j, k, m = parts
+        whole = (j - i <= 1) | (k == m)
+        leaves.append(parts[:, whole])
+        parts = parts[:, ~whole]
+        p, i, j, k, m = parts
+        half, cut = (i + j) // 2, np.empty_like(i)
+        for take in slabs(m - k + 1, half - i + 1):
+            h, lo, hi = half[take], k[take], m[take]
+            width = hi - lo
+            ahead = _last_rows(x, i[take], h - i[take], y, lo, width, 1, s)
+            back = _last_rows(x, j[take] - 1, j[take] - h, y, hi - 1, width, -1, s)
+            place = np.arange(ahead.shape[1])
+            total = ahead + np.take_along_axis(back, np.maximum(width[:, None] - place, 0), axis=1)
+            cut[take] = lo + np.where(place <= width[:, None], total, LOW).argmax(axis=1)
+        parts = np.concatenate((np.stack((p, i, half, k, cut)), np.stack((p, half, j, cut, m))), axis=1)
+    parts = np.concatenate(leaves, axis=1)
+    p, i, j, k, m = parts[:, np.lexsort((parts[1], parts[0]))]
+    # Up to three runs a part: base i against the one at `at`, the rest of y's before and after it; or no two against each other.
+    wide, one = m - k, (j - i == 1) & (m > k)
+    at, fit = np.zeros_like(i), np.zeros(len(i), bool)
+    for take in slabs(wide[one], np.ones_like(wide[one])):
+        own = np.flatnonzero(one)[take]
+        place = np.arange(int(wide[own].max()))
+        inside = place < wide[own, None]
+        hit = y[np.clip(k[own, None] + place, 0, len(y) - 1)] == x[i[own], None]
+        first, none = (hit & inside).argmax(axis=1), ~(hit & inside).any(axis=1)
+        if s.match < s.mismatch:
+            miss = ~hit & inside
+            first = np.where(miss.any(axis=1), miss.argmax(axis=1), first)
+        at[own] = np.where(none, 0, first)
+        fit[own] = hit[np.arange(len(own)), at[own]]
+    met = one & (np.where(fit, s.match, s.mismatch) >= 2 * s.gap)
+    counts = np.stack((np.where(met, at, 0), np.where(met, 1, j - i), np.where(met, wide - at - 1, wide)), axis=1).ravel()
+    ops = np.stack((np.full(len(i), "I"), np.where(met, np.where(fit, "=", "X"), "D"), np.full(len(i), "I")), axis=1).ravel()
+    pair = np.repeat(p, 3)[counts > 0]
+    ops, counts = ops[counts > 0], counts[counts > 0]
+    if not len(ops):
+        return [""] * len(a)
+    starts = np.flatnonzero(np.concatenate(([True], (ops[1:] != ops[:-1]) | (pair[1:] != pair[:-1]))))
+    texts = [f"{n}{op}" for n, op in zip(np.add.reduceat(counts, starts).tolist(), ops[starts].tolist())]
+    ends = np.searchsorted(pair[starts], np.arange(len(a) + 1)).tolist()
+    return ["".join(texts[u:v]) for u, v in zip(ends, ends[1:])]
+
+
+def _band_scores(a: list[np.ndarray], b: list[np.ndarray], width: np.ndarray, s: Scoring) -> tuple[np.ndarray, np.ndarray]:
+    """(best scores of alignments that stay within `width` of the diagonal, cells computed); in each pair len(a) <= len(b)."""
+    n, m = (np.array([len(x) for x in side]) for side in (a, b))
     reach = m - n + width  # places j - i from -width to reach
     size = width + reach + 1
-    place = np.arange(size, dtype=np.int64)
+    place = np.arange(int(size.max()), dtype=np.int64)
     step = place * s.gap
-    d = place - width
-    row = np.where((d >= 0) & (d <= m), d * s.gap, LOW)
-    padded = np.concatenate((np.full(width + 1, -1, np.int64), b, np.full(width + 1, -1, np.int64)))
-    cells = int(((d >= 0) & (d <= m)).sum())
-    for i in range(1, n + 1):
+    xs = _padded(a, n, -1)
+    letters = np.full((len(a), len(place) + xs.shape[1]), -2, np.int64)  # b[j - 1] at place p of row i stands at p + i
+    column = np.arange(letters.shape[1]) - width[:, None] - 1
+    letters[(column >= 0) & (column < m[:, None])] = np.concatenate(b)
+    d = place - width[:, None]
+    own, band, score, cells = np.arange(len(a)), place < size[:, None], np.empty(len(a), np.int64), np.zeros(len(a), np.int64)
+    for i in range(xs.shape[1] + 1):
         j = d + i
-        letters = padded[i : i + size]  # b[j - 1] at each place
-        diagonal = row + np.where(letters == a[i - 1], s.match, s.mismatch)
-        above = np.concatenate((row[1:], [LOW])) + s.gap
-        cur = np.where((j >= 1) & (j <= m), np.maximum(diagonal, above), np.where(j == 0, i * s.gap, LOW))
-        row = np.maximum.accumulate(cur - step) + step
-        row = np.where((j >= 0) & (j <= m), row, LOW)
-        cells += int(((j >= 0) & (j <= m)).sum())
-    return int(row[reach]), cells
+        inside = band & (j >= 0) & (j <= m[:, None])
+        if i == 0:
+            row = np.where(inside, j * s.gap, LOW)
+        else:
+            cur = row + np.where(letters[:, i : i + len(place)] == xs[:, i - 1, None], s.match, s.mismatch)
+            np.maximum(cur[:, :-1], row[:, 1:] + s.gap, out=cur[:, :-1])
+            cur = np.where(inside & (j >= 1), cur, np.where(inside, i * s.gap, LOW))
+            row = np.where(inside, np.maximum.accumulate(cur - step, axis=1) + step, LOW)
+        cells += np.where(n >= i, inside.sum(axis=1), 0)
+        done = n == i
+        score[done] = row[own[done], reach[done]]
+    return score, cells
 
 
 def banded(a: str, b: str, s: Scoring, width: int = 16) -> tuple[int, int, int]:
@@ -162,18 +299,23 @@ def banded(a: str, b: str, s: Scoring, width: int = 16) -> tuple[int, int, int]:
     differ by on the other, which bounds its score; a band whose score reaches the bound holds a best alignment. Otherwise
     the width doubles, up to the whole matrix. Needs match >= mismatch and gap <= 0 for the bound; else takes the whole matrix.
     """
-    x, y = codes(a), codes(b)
-    if len(x) > len(y):
-        x, y = y, x
-    n, m = len(x), len(y)
-    whole = m + 1
+    return tuple(int(v[0]) for v in banded_batch([a], [b], s, width))
+
+
+def banded_batch(a: list[str], b: list[str], s: Scoring, width: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`banded` of many pairs: those of like size together, and again those whose band proved nothing."""
+    sides = [sorted((codes(x), codes(y)), key=len) for x, y in zip(a, b)]
+    n, m = (np.array([len(side[k]) for side in sides], dtype=np.int64) for k in (0, 1))
     usable = s.match >= s.mismatch and s.gap <= 0
-    w, total = (min(width, whole) if usable else whole), 0
-    while True:
-        score, cells = _band_score(x, y, w, s)
-        total += cells
+    w = np.minimum(width, m + 1) if usable else m + 1
+    score, total, open_ = np.empty(len(a), np.int64), np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(open_):
+        for take in slabs((2 * w + m - n + 1)[open_], (n + 1)[open_]):
+            take = open_[take]
+            score[take], cells = _band_scores([sides[k][0] for k in take], [sides[k][1] for k in take], w[take], s)
+            total[take] += cells
         # Outside, at least w + 1 bases of x stand alone, and m - n + w + 1 of y; what is left can match at best.
         bound = (n - w - 1) * max(s.match, 2 * s.gap) + (m - n + 2 * (w + 1)) * s.gap
-        if w >= n or w >= whole or score >= bound:
-            return score, total, w
-        w = min(2 * w, whole)
+        open_ = open_[((w < n) & (w <= m) & (score < bound))[open_]]
+        w[open_] = np.minimum(2 * w, m + 1)[open_]
+    return score, total, w

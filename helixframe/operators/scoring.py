@@ -74,8 +74,9 @@ def align_banded(pairs: DataFrame, scoring: Scoring | None = None, width: int =
 
     @F.pandas_udf("alignment_score bigint, cells_computed bigint, band_width bigint")
     def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if x is None or y is None else gaps.banded(x, y, s, width) for x, y in zip(a, b)]
-        return pd.DataFrame(rows, columns=["alignment_score", "cells_computed", "band_width"], dtype="Int64")
+        ok = (a.notna() & b.notna()).to_numpy()
+        made = gaps.banded_batch(a[ok].tolist(), b[ok].tolist(), s, width)
+        return pd.DataFrame(dict(zip(["alignment_score", "cells_computed", "band_width"], made)), index=a.index[ok], dtype="Int64").reindex(a.index)
 
     return pairs.select("pair_id", score("seq_a", "seq_b").alias("r")).select("pair_id", "r.*")
 
@@ -86,7 +87,8 @@ def traceback(pairs: DataFrame, scoring: Scoring | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def trace(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else gaps.cigar(x, y, s) for x, y in zip(a, b)], dtype=object)
+        ok = (a.notna() & b.notna()).to_numpy()
+        return pd.Series(gaps.cigars(a[ok].tolist(), b[ok].tolist(), s), index=a.index[ok], dtype=object).reindex(a.index).replace({float("nan"): None})
 
     return pairs.select("pair_id", trace("seq_a", "seq_b").alias("cigar"))
 

@@ -57,6 +57,25 @@ def test_bands_prove_the_score(a, b, s, width):
     assert score == al.align_batch([a], [b], False, s)[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT), min_size=1, max_size=8), SCORES, st.integers(1, 6))
+def test_bands_of_many_pairs(pairs, s, width):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    made = gaps.banded_batch(a, b, s, width)
+    assert made[0].tolist() == al.align_batch(a, b, False, s).tolist()
+    assert list(zip(*(v.tolist() for v in made))) == [gaps.banded(x, y, s, width) for x, y in pairs]
+
+
+def test_bands_take_many_pairs_at_once(monkeypatch):
+    """Steps of numpy are as many as rows of a slab, not of all pairs."""
+    calls, kernel = [], gaps._band_scores
+    monkeypatch.setattr(gaps, "_band_scores", lambda a, *rest: calls.append(len(a)) or kernel(a, *rest))
+    r = random.Random(8)
+    a, b = (["".join(r.choice("ACGT") for _ in range(32)) for _ in range(4000)] for _ in range(2))
+    assert gaps.banded_batch(a, b, Scoring(), 4)[0].tolist() == al.align_batch(a, b, False).tolist()
+    assert len(calls) < 40 and sum(calls) >= 4000
+
+
 def test_bands_save_cells():
     r = random.Random(2)
     a = "".join(r.choice("ACGT") for _ in range(2000))
@@ -108,6 +127,21 @@ def test_traceback_replays(a, b, s):
     assert all(x[0] != y[0] for x, y in zip(runs, runs[1:])) and all(n > 0 for _, n in runs)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT), min_size=1, max_size=8), SCORES)
+def test_traceback_of_many_pairs(pairs, s):
+    assert gaps.cigars([x for x, _ in pairs], [y for _, y in pairs], s) == [gaps.cigar(x, y, s) for x, y in pairs]
+
+
+def test_traceback_halves_many_pairs_at_once(monkeypatch):
+    calls, kernel = [], gaps._last_rows
+    monkeypatch.setattr(gaps, "_last_rows", lambda *rest: calls.append(1) or kernel(*rest))
+    r = random.Random(9)
+    a, b = (["".join(r.choice("ACGT") for _ in range(r.randint(0, 300))) for _ in range(300)] for _ in range(2))
+    assert gaps.cigars(a, b, Scoring()) == [gaps.cigar(x, y, Scoring()) for x, y in zip(a, b)]
+    assert 0 < len(calls) < 1500 and gaps.cigars([], [], Scoring()) == []
+
+
 def test_traceback_of_long_sequences():
     r = random.Random(4)
     a = "".join(r.choice("ACGT") for _ in range(3000))
@@ -137,6 +171,18 @@ def test_tiles_join_up(a, b, s, i, j, local):
     assert (max(best1, best2, best3, best4) if local else bottom4[-1]) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGT", min_size=1, max_size=9), st.text("ACGT", min_size=1, max_size=9), st.integers(-9, 9)), min_size=1, max_size=6), SCORES, st.booleans())
+def test_tiles_of_many_pairs(rows, s, local):
+    a, b = [gaps.codes(x) for x, _, _ in rows], [gaps.codes(y) for _, y, _ in rows]
+    tops = [np.arange(len(y) + 1) * v for _, y, v in rows]
+    lefts = [np.arange(len(x)) * -v for x, _, v in rows]
+    bottom, right, best = gaps.tile_batch(a, b, tops, lefts, s, local)
+    for k in range(len(rows)):
+        u, v, w = gaps.tile(a[k], b[k], tops[k], lefts[k], s, local)
+        assert (bottom[k].tolist(), right[k].tolist(), best[k]) == (u.tolist(), v.tolist(), w)
+
+
 def test_long_pairs_by_tiles(spark):
     r = random.Random(6)
     draw = lambda n: "".join(r.choice("ACGT") for _ in range(n))
