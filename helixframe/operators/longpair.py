@@ -2,7 +2,7 @@
 
 Tile (i, j) needs the last row of tile (i - 1, j) and the last column of tile (i, j - 1). All tiles with i + j = d are
 scored at once, over all pairs; their borders are written to the shared folder and joined with the blocks of both sequences for
-d + 1. A task holds one tile at a time: two blocks of letters and two borders, in proportion to the tile's side. A lost executor costs
+d + 1. Small tiles are scored many at a time, large ones singly, so a task's memory is in proportion to the tile's side. A lost executor costs
 the tiles of one wave. A million bases a side in tiles of 16,384 are 123 waves.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.gaps import codes, tile
+from helixframe.functions.gaps import codes, slabs, tile_batch
 from helixframe.operators.scoring import SCORE_COLUMN
 from helixframe.schemas import Scoring
 from helixframe.storage import Store
@@ -53,20 +53,16 @@ def align_blocks(a: DataFrame, b: DataFrame, algorithm: str = "nw", scoring: Sco
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(len(batch)):
-                row = {n: batch[n][r] for n in batch.schema.names}
-                p, i, j, na, nb = (row[n].as_py() for n in ("pair_id", "i", "j", "na", "nb"))
-                x, y = codes(row["text_a"].as_py()), codes(row["text_b"].as_py())
-                line = lambda n, k, first: np.zeros(n, np.int64) if local else (np.arange(n, dtype=np.int64) + k * size + first) * s.gap
-                top = row["top"].values.to_numpy() if row["top"].is_valid else line(len(y) + 1, j, 0)
-                left = row["left"].values.to_numpy() if row["left"].is_valid else line(len(x), i, 1)
-                bottom, right, best = tile(x, y, top, left, s, local)
-                best = max(best, row["best"].as_py() or 0)
-                last = i == na - 1 and j == nb - 1
-                rows = [(p, i + 1, j, bottom, None, best, None)] * (i < na - 1) + [(p, i, j + 1, None, right, best, None)] * (j < nb - 1)
-                rows += [(p, i, j, None, None, best, best if local else int(bottom[-1]))] * last
-                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_WAVE.replace(",", "").split()[::2])
+            p, i, j, na, nb, best = (batch[n].to_numpy(zero_copy_only=False) for n in ("pair_id", "i", "j", "na", "nb", "best"))
+            best = np.nan_to_num(best.astype(float)).astype(np.int64) if batch["best"].null_count else best
+            x, y = ([codes(t) for t in batch[n].to_pylist()] for n in ("text_a", "text_b"))
+            line = lambda n, k, first: np.zeros(n, np.int64) if local else (np.arange(n, dtype=np.int64) + k * size + first) * s.gap
+            tops, lefts = _borders(batch["top"]), _borders(batch["left"])
+            tops = [line(len(y[r]) + 1, j[r], 0) if t is None else t for r, t in enumerate(tops)]
+            lefts = [line(len(x[r]), i[r], 1) if t is None else t for r, t in enumerate(lefts)]
+            for take in slabs(np.array([len(t) for t in y]), np.array([len(t) for t in x])):
+                bottom, right, high = tile_batch(*([side[r] for r in take] for side in (x, y, tops, lefts)), s, local)
+                yield _wave_rows(take, p, i, j, na, nb, bottom, right, np.maximum(best[take], high), local)
 
     wave, done = None, []
     most = max(1, 4 * spark.sparkContext.defaultParallelism)
@@ -89,6 +85,26 @@ def align_blocks(a: DataFrame, b: DataFrame, algorithm: str = "nw", scoring: Sco
     return empty
 
 
+def _borders(column: pa.ListArray) -> list[np.ndarray | None]:
+    values, at, ok = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[u:v] if there else None for u, v, there in zip(at, at[1:], ok)]
+
+
+def _wave_rows(take: np.ndarray, p, i, j, na, nb, bottom: list[np.ndarray], right: list[np.ndarray], best: np.ndarray, local: bool) -> pa.RecordBatch:
+    """Rows of the tiles at `take`: a border for the tile below, one for the tile to the right, and the score of a last tile."""
+    p, i, j = p[take], i[take], j[take]
+    down, across = np.flatnonzero(i < na[take] - 1), np.flatnonzero(j < nb[take] - 1)
+    last = np.flatnonzero((i == na[take] - 1) & (j == nb[take] - 1))
+    rows = np.concatenate((down, across, last))
+    n = (len(down), len(across), len(last))
+    score = best if local else np.array([x[-1] for x in bottom])
+    lists = lambda own, given: [None] * sum(n[:own]) + [given[r] for r in (down, across)[own]] + [None] * sum(n[own + 1 :])
+    made = [p[rows], i[rows] + np.repeat([1, 0, 0], n), j[rows] + np.repeat([0, 1, 0], n)]
+    columns = [pa.array(c, pa.int64()) for c in made] + [pa.array(lists(own, given), pa.list_(pa.int64())) for own, given in enumerate((bottom, right))]
+    columns += [pa.array(best[rows], pa.int64()), pa.array(score[rows], pa.int64(), mask=np.arange(len(rows)) < n[0] + n[1])]
+    return pa.RecordBatch.from_arrays(columns, names=_WAVE.replace(",", "").split()[::2])
+
+
 def align_long(pairs: DataFrame, algorithm: str = "nw", scoring: Scoring | None = None, size: int = TILE) -> DataFrame:
     """(pair_id, sequence_length_a, sequence_length_b, score column) as scoring.align gives, by tiles.
 
