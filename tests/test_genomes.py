@@ -61,6 +61,22 @@ def test_windows_raise_and_check(spark):
         fr.fragment(bad, 0, 1)
 
 
+def test_a_text_is_cleaned_once(spark):
+    """A whole genome is cleaned in one place of the plan and never shuffled; of chunks only counts move besides the cells, and once."""
+    df = spark.createDataFrame([("a", "ACGTN" * 100)], "genome string, sequence string").repartition(2)
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    whole = plan(fr.fragment(df, 16, 8, skip_ambiguous=True, cell=50))
+    assert whole.count("[^ACGTN]") == 1 and whole.count("Exchange") == 1 and "Join" not in whole
+    assert plan(fr.fragment(df, 16, 8)).count("[^ACGTN]") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = plan(fr.fragment_chunks(fr.chunked(df, 9), 16, 8, skip_ambiguous=True, cell=50))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin [g#" in parts  # by the keys of the cells as they are
+    assert "substring" not in fr.fragment(df, 16, 8).select("start", "end")._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+
+
 def test_no_task_holds_a_genome(spark):
     """Of a genome of 3,000,000 bases in chunks no shuffled group, and so no task, has more than a cell and its halo."""
     chunks = spark.range(300).select(F.lit("g").alias("genome"), (F.col("id") * 10_000).alias("offset"), F.repeat(F.lit("ACGTTGCAAC"), F.lit(1000)).alias("sequence"))
