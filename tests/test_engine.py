@@ -242,3 +242,16 @@ def test_sql_functions(spark):
     al.register_sql(spark)
     r = spark.sql("select nw_score('ACGT','AGT') n, sw_score('ACGT','TTACGTAA') s, hamming('ACGT','ACCT') h").first()
     assert tuple(r) == (4, 8, 1)
+
+
+def test_blocks_of_all_pairs(spark, monkeypatch):
+    """A longer table has larger blocks, not more of them, until a block is as large as it may be; every pair is there in all cases."""
+    assert all(-(-n // pairing.block_size(n, 32)) <= pairing.BLOCKS for n in (100, 6_000, 60_000, 360_000, 800_000))
+    assert pairing.block_size(10**9, 32) * 80 <= pairing.BLOCK_BYTES and pairing.block_size(10**6, 10**6) == pairing.BLOCK
+    monkeypatch.setattr(pairing, "BLOCK", 3)
+    monkeypatch.setattr(pairing, "BLOCKS", 4)
+    n = 31
+    f = spark.range(n).select(F.col("id").alias("fragment_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("sequence"))
+    want = [(f"s{i}", f"s{j}") for i in range(n) for j in range(n) if i != j]
+    for cap in (10**6, 200, 1):
+        assert sorted(map(tuple, pairing.all_vs_all(f, n, cap).pairs.collect())) == [(k, *x) for k, x in enumerate(want[:cap])]
