@@ -44,8 +44,10 @@ _PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|{_SHORT}))."
 
 
 def shingles(line: Column) -> Column:
-    """Shingles with repeats, as an array."""
-    return F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(1))
+    """Shingles with repeats, as an array in no order that matters: from each of the first SHINGLE characters on, the line is cut
+    into pieces, which costs less than to look ahead from every character."""
+    cuts = [F.regexp_extract_all(F.substring(line, k + 1, 2**31 - 1), F.lit(f"(?s).{{{SHINGLE}}}"), F.lit(0)) for k in range(SHINGLE)]
+    return F.when(F.length(line).between(1, SHINGLE - 1), F.array(line)).otherwise(F.flatten(F.array(*cuts)))
 
 
 def permutation(i: int) -> int:
@@ -57,25 +59,32 @@ def permutation(i: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def blank(line: Column) -> Column:
+    """Whether a line is white space alone, as the pattern \\s has it; looks no further than its first other character."""
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) == ""
+
+
 def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, k1, k2, line_no, line) of all lines that are not blank."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.col(text).alias("t"))
-    return rows.select("doc_id", "k1", "k2", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
+    return rows.select("doc_id", "k1", "k2", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).filter(~blank(F.col("line")))
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """(key, n, bands): distinct lines, how often they occur, and their band hashes. Partial minima of a line are formed
-    where it is read, so only they move. In UTF-32 every character has four bytes, so a shingle is a slice at a known
-    place, whatever the length of its line. GROUP shingles are one row, whose least values update the minima once."""
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).filter(F.col("line").rlike(r"\S"))
-    rows = lines.select(F.xxhash64("line").alias("key"), F.encode("line", "UTF-32").alias("wide"))
-    rows = rows.select("key", "wide", F.greatest(F.expr("cast(length(wide) / 4 as int)") - SHINGLE, F.lit(0)).alias("last"))
-    rows = rows.select("key", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(GROUP))).alias("i"))
+    """(key, n, bands): distinct lines, how often they occur, and their band hashes. Lines move once, equal ones of a task as one,
+    and only then are cut, each text once, where it has arrived; so minima need not move. In UTF-32 every character has four
+    bytes, so a shingle is a slice at a known place, whatever the length of its line. GROUP shingles are one row, whose least
+    values update the minima once."""
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).filter(~blank(F.col("line")))
+    lines = lines.select(F.xxhash64("line").alias("key"), "line").groupBy("key").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
+    rows = lines.select("key", "n", F.encode("line", "UTF-32").alias("wide"))
+    rows = rows.select("key", "n", "wide", F.greatest(F.expr("cast(length(wide) / 4 as int)") - SHINGLE, F.lit(0)).alias("last"))
+    rows = rows.select("key", "n", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(GROUP))).alias("i"))
     h = [f"h{g}" for g in range(GROUP)]  # past the end the last shingle is repeated, which changes no minimum
     at = [F.least(F.col("i") + g, "last") * 4 + 1 for g in range(GROUP)]
-    s = rows.select("key", "i", *[F.xxhash64(F.substring(F.col("wide"), x, F.lit(4 * SHINGLE))).alias(c) for x, c in zip(at, h)])
+    s = rows.select("key", "n", *[F.xxhash64(F.substring(F.col("wide"), x, F.lit(4 * SHINGLE))).alias(c) for x, c in zip(at, h)])
     least = [F.min(F.least(*[F.col(c).bitwiseXOR(F.lit(permutation(i))) for c in h])).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    minima = s.groupBy("key").agg(F.count_if(F.col("i") == 0).alias("n"), *least)
+    minima = s.groupBy("key", "n").agg(*least)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return minima.select("key", "n", F.array(*bands).alias("bands"))
 
@@ -114,7 +123,8 @@ def similar_lines(docs: DataFrame, signed: DataFrame, store: Store, *, text: str
     """(node, component) of the lines that resemble another distinct line."""
     band = signed.select(F.explode("bands").alias("band"), "key")
     shared = band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    multi = store.put(band.join(shared.hint("shuffle_hash"), "band"), "bands")  # the few shared bands are hashed, all others not sorted
+    multi = band.join(shared.hint("shuffle_hash"), "band")  # the few shared bands are hashed, all others not sorted
+    multi = store.put(multi.hint("rebalance", F.col("key")), "bands")  # few rows are left, which many small files would make slow to read
     keys = multi.select("key").distinct()
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.xxhash64("line").alias("key"), "line")
     own = store.put(lines.groupBy("key").agg(F.any_value("line").alias("line")).join(keys, "key", "left_semi"), "lines")  # a common line moves once a task

@@ -348,6 +348,28 @@ def test_signatures_take_every_shingle_of_a_line(spark):
     assert lines.signatures(spark.createDataFrame([(texts[0] * 4_000,)], "text string"), "text").count() == 1  # a line of a million characters
 
 
+def test_equal_lines_are_cut_once_and_minima_do_not_move(spark):
+    docs = spark.createDataFrame([(f"same line in all\nown line {i}\n \t\x0b\f\r\n\u00a0",) for i in range(20)], "text string")
+    signed = lines.signatures(docs, "text")
+    assert sorted(x["n"] for x in signed.collect()) == [1] * 20 + [20, 20]
+    plan = signed._jdf.queryExecution().sparkPlan().toString()  # from the last step down to the first
+    cut = plan.index("explode(sequence")
+    assert "count(1)" in plan[cut:] and "count(1)" not in plan[:cut]  # lines are distinct before they are cut
+    plan = signed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("explode(sequence") < plan.index("Exchange hashpartitioning")
+
+
+def test_shingles_and_blanks_are_what_the_patterns_say(spark):
+    r = random.Random(23)
+    texts = ["", "\n", "a", *[c * 9 for c in " \t\x0b\f\r\u00a0\u3000\x1c\x85\u2028"], " \t x", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts += ["".join(r.choice("ab \u4e00\U0001f600\u00e9\r") for _ in range(n)) for n in range(1, 40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", lines.shingles(F.col("t")).alias("s"), lines.blank(F.col("t")).alias("b"), (~F.col("t").rlike(r"\S")).alias("w")).collect()
+    for x in got:
+        t = x["t"]
+        assert sorted(x["s"]) == sorted(t[i : i + 8] for i in range(max(1, len(t) - 7)) if t) and x["b"] == x["w"]
+
+
 def test_bitmaps_never_rule_out_a_pair(spark):
     r = random.Random(8)
     texts = [sentence(r, r.choice([1, 2, 10, 60, 200])) for _ in range(25)]
