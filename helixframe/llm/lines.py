@@ -70,21 +70,26 @@ def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "k1", "k2", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).filter(~blank(F.col("line")))
 
 
+def cut(lines: DataFrame, *others: str) -> DataFrame:
+    """Columns `others` and, in rows of GROUP, the 64-bit hashes h0, h1, ... of all shingles of `line`. In UTF-32 every character has
+    four bytes, so a shingle is a slice at a known place, whatever the length of its line. Past the end the last shingle is
+    repeated, which changes neither minima nor sets."""
+    rows = lines.select(*others, F.encode("line", "UTF-32").alias("wide"))
+    rows = rows.select(*others, "wide", F.greatest(F.expr("cast(length(wide) / 4 as int)") - SHINGLE, F.lit(0)).alias("last"))
+    rows = rows.select(*others, "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(GROUP))).alias("i"))
+    at = [F.least(F.col("i") + g, "last") * 4 + 1 for g in range(GROUP)]
+    return rows.select(*others, *[F.xxhash64(F.substring(F.col("wide"), x, F.lit(4 * SHINGLE))).alias(f"h{g}") for g, x in enumerate(at)])
+
+
 def signatures(docs: DataFrame, text: str) -> DataFrame:
     """(key, n, bands): distinct lines, how often they occur, and their band hashes. Lines move once, equal ones of a task as one,
-    and only then are cut, each text once, where it has arrived; so minima need not move. In UTF-32 every character has four
-    bytes, so a shingle is a slice at a known place, whatever the length of its line. GROUP shingles are one row, whose least
-    values update the minima once."""
+    and only then are cut, each text once, where it has arrived; so minima need not move. The least values of a row of
+    shingles update the minima once."""
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).filter(~blank(F.col("line")))
     lines = lines.select(F.xxhash64("line").alias("key"), "line").groupBy("key").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
-    rows = lines.select("key", "n", F.encode("line", "UTF-32").alias("wide"))
-    rows = rows.select("key", "n", "wide", F.greatest(F.expr("cast(length(wide) / 4 as int)") - SHINGLE, F.lit(0)).alias("last"))
-    rows = rows.select("key", "n", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(GROUP))).alias("i"))
-    h = [f"h{g}" for g in range(GROUP)]  # past the end the last shingle is repeated, which changes no minimum
-    at = [F.least(F.col("i") + g, "last") * 4 + 1 for g in range(GROUP)]
-    s = rows.select("key", "n", *[F.xxhash64(F.substring(F.col("wide"), x, F.lit(4 * SHINGLE))).alias(c) for x, c in zip(at, h)])
+    h = [f"h{g}" for g in range(GROUP)]
     least = [F.min(F.least(*[F.col(c).bitwiseXOR(F.lit(permutation(i))) for c in h])).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    minima = s.groupBy("key", "n").agg(*least)
+    minima = cut(lines, "key", "n").groupBy("key", "n").agg(*least)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return minima.select("key", "n", F.array(*bands).alias("bands"))
 
@@ -112,8 +117,12 @@ def resembling(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFram
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """(key, n, b0, b1, ...): the number of different shingles of each line, and their set as WORDS longs: each shingle flips one bit."""
-    one = lines.select("key", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    """(key, n, b0, b1, ...): the number of different shingles of each line, and their set as WORDS longs: each shingle flips one bit.
+    Shingles are told apart by their 64-bit hashes. Lines move before they are cut, so hashes need not."""
+    rows = cut(lines.select("key", "line").repartition("key"), "key").select("key", F.array(*[f"h{g}" for g in range(GROUP)]).alias("h"))
+    # An array used twice is not merged into the aggregate, where what makes it would be interpreted for each row.
+    sets = rows.groupBy("key").agg(F.collect_list("h").alias("all"), F.max(F.element_at("h", 1)).alias("used")).filter("used is not null")
+    one = sets.select("key", F.explode(F.array_distinct(F.flatten("all"))).alias("h"))
     bit = one.select("key", F.pmod("h", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
     words = [F.coalesce(F.bit_xor(F.when(F.col("w") == i, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"b{i}") for i in range(WORDS)]
     return bit.groupBy("key").agg(F.count("*").alias("n"), *words)
