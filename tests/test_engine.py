@@ -255,3 +255,19 @@ def test_blocks_of_all_pairs(spark, monkeypatch):
     want = [(f"s{i}", f"s{j}") for i in range(n) for j in range(n) if i != j]
     for cap in (10**6, 200, 1):
         assert sorted(map(tuple, pairing.all_vs_all(f, n, cap).pairs.collect())) == [(k, *x) for k, x in enumerate(want[:cap])]
+
+
+def test_all_pairs_are_rows_of_a_join(spark, monkeypatch):
+    """Spark keeps all rows that an explode makes of a row, so pairs of two blocks come of the join itself; its tasks follow the pairs, not the bytes."""
+    n = 31
+    f = spark.range(n).select(F.col("id").alias("fragment_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("sequence"))
+    monkeypatch.setattr(pairing, "BLOCK", 3)
+    monkeypatch.setattr(pairing, "BLOCKS", 4)
+    monkeypatch.setattr(pairing, "TASK_PAIRS", 40, raising=False)
+    want = [(f"s{i}", f"s{j}") for i in range(n) for j in range(n) if i != j]
+    for cap, tasks in ((10**6, 16), (500, 12)):
+        made = pairing.all_vs_all(f, n, cap).pairs
+        above, join, _ = made._jdf.queryExecution().optimizedPlan().toString().partition("Join Inner")
+        assert join and "Generate" not in above
+        assert made.rdd.getNumPartitions() == tasks
+        assert sorted(map(tuple, made.collect())) == [(k, *x) for k, x in enumerate(want[:cap])]
