@@ -271,3 +271,17 @@ def test_all_pairs_are_rows_of_a_join(spark, monkeypatch):
         assert join and "Generate" not in above
         assert made.rdd.getNumPartitions() == tasks
         assert sorted(map(tuple, made.collect())) == [(k, *x) for k, x in enumerate(want[:cap])]
+
+
+def test_fragments_are_spread_before_they_are_sent(spark, monkeypatch):
+    """Each fragment is sent to every block; those of a small file, one task, are dealt out first, or that task would send them all."""
+    n = 31
+    f = spark.range(0, n, 1, 1).select(F.col("id").alias("fragment_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("sequence"))
+    monkeypatch.setattr(pairing, "BLOCK", 3)
+    monkeypatch.setattr(pairing, "BLOCKS", 4)
+    monkeypatch.setattr(pairing, "TASK_BYTES", 2000, raising=False)
+    made = pairing.all_vs_all(f, n, 10**6).pairs
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [part.count("RepartitionByExpression") for part in plan.split("Generate explode")[1:]] == [1, 1]
+    want = [(f"s{i}", f"s{j}") for i in range(n) for j in range(n) if i != j]
+    assert sorted(map(tuple, made.collect())) == [(k, *x) for k, x in enumerate(want)]
